@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, langid, mixing, packing, rules, sharding, tokens
+from tessera.llm import ann, captures, jaccard, langid, mixing, packing, records, rules, sharding, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,16 +15,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": lambda s, d: tokens.attributed(_docs(s, d)),
+    "op2_nearest_neighbours": lambda s, d: ann.neighbours(s.read.parquet(f"{d}/embeddings.parquet")),
     "op3_quality_rules": lambda s, d: rules.with_policies(rules.ledger(_docs(s, d))),
     "op4_mix_sources": lambda s, d: mixing.sampled(_docs(s, d)),
     "op5_ngram_jaccard": lambda s, d: jaccard.jaccard_join(_docs(s, d)),
     "op6_packing": lambda s, d: packing.packed(_docs(s, d)),
     "op7_sharding": lambda s, d: sharding.sharded(_docs(s, d)),
     "op8_language_id": lambda s, d: langid.identify_languages(_docs(s, d)),
+    "op9_token_records": lambda s, d: records.tokenized(_docs(s, d)),
+    "op10_capture_index": lambda s, d: captures.merged_index(captures.captures(s.read.parquet(f"{d}/pages.parquet"))),
 }
 
 SQL: dict[str, str] = {
     "op3_quality_rules": rules.ledger_sql(),
     "op4_mix_sources": mixing.mixing_sql(),
     "op7_sharding": sharding.sharding_sql(),
+    "op10_capture_index": captures.captures_sql(),
 }
