@@ -30,6 +30,8 @@ from tessera.llm.common import small_batches, utf8
 
 TRAIN_BYTES, TRAIN_DOCS, MAX_RATE = 24_000, 64, 0.45
 LANES = 1024
+#: Texts are taken so many bytes at a time, or a single one.
+PIECE = 2 << 20
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +41,8 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[1:] |= letter[:-1]
     starts = offsets[:-1][offsets[:-1] < offsets[1:]]
     keep[starts] = letter[starts]  # no space before a text's first letter
-    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))
-    return np.where(letter, data, 32).astype(np.uint8)[keep], sums[offsets]
+    sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(keep, dtype=np.uint32)))
+    return np.where(letter, data, np.uint8(32))[keep], sums[offsets].astype(np.int64)
 
 
 def automaton(text: bytes, symbols: np.ndarray, width: int) -> np.ndarray:
@@ -85,15 +87,10 @@ def automaton(text: bytes, symbols: np.ndarray, width: int) -> np.ndarray:
 
 def phrases(table: np.ndarray, width: int, stream: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """How many phrases each of the texts in the stream has. Symbols are below width - 1; width - 1 must be a symbol of no text."""
-    n, stop = len(stream), width - 1
-    cuts = np.arange(len(offsets) - 1)
-    padded = np.full(n + len(cuts) + 1, stop, np.int32)  # before each text a symbol that no phrase can contain
-    at = offsets[:-1] + cuts + 1
-    lengths = np.diff(offsets)
-    owner = np.repeat(cuts, lengths)
-    padded[np.arange(n) + owner + 1] = stream
+    stop = width - 1
+    padded = np.insert(stream, offsets, stop)  # around each text a symbol that no phrase can contain
     steps = -(-len(padded) // lanes)
-    lane = np.full(steps * lanes, stop, np.int32)
+    lane = np.full(steps * lanes, stop, np.uint8)
     lane[: len(padded)] = padded
     by_step = np.ascontiguousarray(lane.reshape(lanes, steps).T)
     begins = np.empty((steps, lanes), bool)
@@ -118,8 +115,8 @@ def phrases(table: np.ndarray, width: int, stream: np.ndarray, offsets: np.ndarr
         begins[t, follow] = true
         follow, now = follow[~same], (nxt >> 1)[~same]
         t += 1
-    flat = np.concatenate((np.zeros(1, np.int64), np.cumsum(begins.T.reshape(-1))))
-    return flat[at + lengths] - flat[at]
+    found = np.add.reduceat(begins.T.reshape(-1), offsets + np.arange(len(offsets)), dtype=np.int64)
+    return found[:-1] - 1  # without the symbol before each text
 
 
 class Model:
@@ -129,12 +126,15 @@ class Model:
         self.languages = sorted(samples)
         seen = np.unique(np.frombuffer(b"".join(samples.values()), np.uint8)) if samples else np.zeros(0, np.uint8)
         self.width = len(seen) + 2  # one for bytes not seen, one that ends texts
-        self.symbols = np.full(256, len(seen), np.int32)
-        self.symbols[seen] = np.arange(len(seen))
+        self.symbols = np.full(256, len(seen), np.uint8)
+        self.symbols[seen] = np.arange(len(seen), dtype=np.uint8)
         self.tables = [automaton(samples[x], self.symbols, self.width) for x in self.languages]
 
     def rates(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Phrases for each symbol, by text and language; and each text's number of symbols."""
+        if len(column) > 1 and column.nbytes > PIECE:
+            parts = [self.rates(column.slice(*x)) for x in ((0, len(column) // 2), (len(column) // 2,))]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         data, offsets = utf8(column)
         stream, offsets = normalised(data, offsets)
         stream = self.symbols[stream]
