@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import aggregates, graph, joins, lineage, raster, select, sets, upsert, windows
 from tessera.sources.tables import Tables
+from tessera.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -628,3 +629,19 @@ def json_attributes(t):
 def image_report(t):
     j = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
     return j.select(S.joined_path(F.lit("Volume"), F.concat(F.lit("Section["), F.col("s_suppkey").cast("string"), F.lit("]")), F.col("n_name")).alias("path"), F.col("n_name").alias("tag"))
+
+
+# Streams
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(t):
+    done = logs.completed(logs.windowed(logs.events(t.spark, t.folder), late="100 days"))
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM b GROUP BY user_id, s""")
+def stream_sessions(t):
+    done = logs.completed(logs.sessions(logs.events(t.spark, t.folder), late="100 days"))
+    return done.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
