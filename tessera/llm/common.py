@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -40,12 +42,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches small enough that texts of any length fit beside each other in a Python worker."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = int("".join(x for x in str(spark.conf.get(key)) if x.isdigit()) or 0)
         if not 0 < now <= most:
             spark.conf.set(key, f"{most}b" if "Bytes" in key else str(most))
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(f):
+    """A function of batches that releases memory when it ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def utf8(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes in one array, and where each begins (one more than there are texts). A null text is an empty one."""
     if isinstance(column, pa.ChunkedArray):
