@@ -81,7 +81,7 @@ def url_key(url: Column) -> Column:
     host = F.regexp_extract(bare, "^[^/?]*", 0)
     rest = F.regexp_replace(bare, "^[^/?]*", "")
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":(80|443)$", ""), "^www[0-9]*[.]", "")
-    labels = F.array_join(F.reverse(F.split(host, "[.]")), ",")
+    labels = F.concat(F.array_join(F.reverse(F.split(F.regexp_replace(host, ":[0-9]+$", ""), "[.]")), ","), F.regexp_extract(host, ":[0-9]+$", 0))
     path = F.regexp_replace(F.regexp_extract(rest, "^[^?]*", 0), "/$", "")
     query = F.regexp_replace(rest, "^[^?]*[?]?", "")
     arguments = F.array_join(F.array_sort(F.split(query, "&")), "&")
@@ -179,7 +179,8 @@ def merged_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = found.sparkSession
     small_batches(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    number = F.when(F.col("page_id").isNull(), F.lit("")).when(F.col("page_id") < 0, F.concat(F.lit("0"), F.lpad((F.col("page_id") + F.lit(2**63 - 1) + 1).cast("string"), 19, "0"))).otherwise(F.concat(F.lit("1"), F.lpad(F.col("page_id").cast("string"), 19, "0")))
+    # 20 digits that sort as the numbers do, negative ones too
+    number = F.coalesce(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))
     key = F.concat_ws("\u0000", F.col("urlkey"), F.col("timestamp"), number)
     path = scratch_path(spark, "runs")
     runs = found.withColumn("key", key).select(*CAPTURE.names).sortWithinPartitions("key").mapInArrow(_runs, "run string, block int, first string, last string, captures long, data binary")
@@ -221,7 +222,7 @@ WITH a AS (SELECT *, regexp_replace(regexp_replace(lower(trim(url)), '#.*$', '')
 b AS (SELECT *, regexp_replace(bare, '^[^/?]*', '') AS rest,
   regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*'), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host FROM a),
 c AS (SELECT *, regexp_replace(regexp_extract(rest, '^[^?]*'), '/$', '') AS path, regexp_replace(rest, '^[^?]*[?]?', '') AS query FROM b),
-d AS (SELECT array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+d AS (SELECT array_to_string(list_reverse(string_split(regexp_replace(host, ':[0-9]+$', ''), '.')), ',') || regexp_extract(host, ':[0-9]+$') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
     || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END AS urlkey,
   coalesce(strftime(make_timestamp(({EPOCH} + page_id * {STEP}) * 1000000), '%Y%m%d%H%M%S'), '00000000000000') AS timestamp,
   page_id, url, md5(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length FROM c)

@@ -36,7 +36,7 @@ class Rule:
 
 #: The position of a rule is its bit. Rules are only ever appended, so that stored masks stay valid.
 RULES = (
-    Rule("few_words", "n_words", least=3),
+    Rule("few_words", "n_words", least=1),
     Rule("many_words", "n_words", most=1_000_000),
     Rule("short_words", "mean_word", least=2.5),
     Rule("long_words", "mean_word", most=12),
