@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ranges, scratch_path, small_batches
+from tessera.llm.common import ranges, releasing, scratch_path, small_batches
 from tessera.llm.tokens import VOCABULARY, Tokenizer, valid
 
 FILE_BYTES = 128 << 20
@@ -151,7 +151,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file
             if out is not None:
                 out.close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, INDEX)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(write), INDEX)
     rows.write.parquet(f"{path}/_index")
     return spark.read.schema(INDEX).parquet(f"{path}/_index")
 
