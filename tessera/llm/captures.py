@@ -180,7 +180,7 @@ def merged_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
     small_batches(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # 20 digits that sort as the numbers do, negative ones too
-    number = F.coalesce(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))
+    number = F.coalesce(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))
     key = F.concat_ws("\u0000", F.col("urlkey"), F.col("timestamp"), number)
     path = scratch_path(spark, "runs")
     runs = found.withColumn("key", key).select(*CAPTURE.names).sortWithinPartitions("key").mapInArrow(_runs, "run string, block int, first string, last string, captures long, data binary")
