@@ -6,15 +6,21 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset (tests, a laptop) a temporary one, set for the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in spark.checkpoint.dir; where that is unset, in a temporary folder that the session then uses."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        root = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-        spark.sparkContext.setCheckpointDir(f"file://{root}")
+    """df, computed and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -16,6 +16,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 #: Codes of simple types.
 SIMPLE = {2: "i2", 3: "i4", 4: "u2", 5: "u4", 6: "f4", 7: "f8", 8: "i1", 9: "i1", 10: "i1", 11: "i8", 12: "u8"}
 #: Codes of pixel types.
@@ -101,6 +103,7 @@ def tags(spark: SparkSession, path: str) -> DataFrame:
                     found = _Reader(g, 4096).read()
                 yield pd.DataFrame({"file": [file], "tags": [{k: str(v) for k, v in found.items() if v is not None}]})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
     return files.mapInPandas(read, "file string, tags map<string,string>")
 
@@ -141,5 +144,6 @@ def pixels(spark: SparkSession, path: str, image: str = IMAGE) -> DataFrame:
                     v = np.frombuffer(g.read_at(w * h * kind.itemsize, found[f"{image}/Data@offset"]), kind)
                 yield pd.DataFrame({"file": [file], "width": [w], "height": [h], "values": [v.astype(float).tolist()]})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
     return files.mapInPandas(read, "file string, width int, height int, values array<double>")

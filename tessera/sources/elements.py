@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 TYPES = "file string, id string, parent string, ord long, depth int, tag string, attrs map<string,string>, text string"
 
 
@@ -37,6 +39,7 @@ def parsed(texts: DataFrame) -> DataFrame:
                     stack += [(x, me, depth + 1) for x in reversed(list(e))]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in TYPES.replace("map<string,string>", "map").split(", ")])
 
+    ship(texts.sparkSession)
     return texts.select("file", "text").mapInPandas(walk, TYPES)
 
 

@@ -15,6 +15,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 HEADER_BYTES = 1024
 #: Pixel mode: numpy type and bytes of a pixel.
 MODES = {0: ("u1", 1), 1: ("i2", 2), 2: ("f4", 4), 3: ("i2", 4), 4: ("c8", 8), 6: ("u2", 2), 16: ("u1", 3)}
@@ -67,6 +69,7 @@ TILE_TYPES = "file string, tile int, tilt double, piece_x int, piece_y int, piec
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
 
 
