@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import sys
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,23 +11,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.checkpoints import shared_folder
+from tessera.shipping import ship
+
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, a laptop) a temporary one, set for the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that texts of any length fit beside each other in a Python worker."""
+    """Readies a session for Python operators: the package on its executors, and Arrow batches small enough that texts of any length fit beside each other in a Python worker."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = int("".join(x for x in str(spark.conf.get(key)) if x.isdigit()) or 0)
         if not 0 < now <= most:
