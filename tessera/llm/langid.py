@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, utf8
+from tessera.llm.common import release, small_batches, utf8
 
 TRAIN_BYTES, TRAIN_DOCS, MAX_RATE = 24_000, 64, 0.45
 LANES = 1024
@@ -189,6 +189,7 @@ def identify_column(text: Column, model: Model, spark, max_rate: float = MAX_RAT
             for c in ("rate", "second_rate"):
                 out[c] = out[c].where((lengths > 0) & np.isfinite(out[c]))
             yield out
+        release()
 
     return identify(text)
 
