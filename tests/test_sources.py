@@ -53,21 +53,21 @@ def test_mdoc(spark):
     assert out == "A = 1\n[Image = 12.tif]\nB = 2"
 
 
-LOG = """Last update properties file: Sep 30, 2011
-SerialEM Version 3.1.1a,  built Nov  9 2011  14:20:16
-Started  4/23/2012  12:17:25
+LOG = """Last update properties file: Jan 2, 2020
+SerialEM Version 9.8b,  built today
+Started  1/2/2020 at noon
 100.0: Montage Start
 101.0: DoNextPiece Starting stage move
 102.0: Autofocus Start
-Measured defocus = -0.80 microns                  drift = 1.57 nm/sec
+Measured defocus = 2 um, drift = 1.57 nm/sec
 103.0: Autofocus Done
 110.0: DoNextPiece Starting capture with stage move
 112.0: BlankerProc finished stage move
 113.0: SaveImage Saving image at 4 5,  file Z = 0
 114.0: Autofocus Start
-Measured defocus = -0.80 microns                  drift = 1.38 nm/sec
+Measured defocus = 2 um, drift = 1.38 nm/sec
 115.0: Autofocus Start
-Measured defocus = -0.70 microns                  drift = 0.9 nm/sec
+Measured defocus = 3 um, drift = 0.9 nm/sec
 120.5: DoNextPiece Starting capture with stage move
 121.0: SaveImage Saving image at 4 6,  file Z = 1
 130.0: SaveImage Processing
@@ -77,7 +77,7 @@ Measured defocus = -0.70 microns                  drift = 0.9 nm/sec
 def test_log(spark):
     header, tiles, drifts = texts.acquisition_log(table(spark, LOG))
     h = header.first()
-    assert (h["version"], h["startup"], h["properties_version"]) == ("3.1.1a,  built Nov  9 2011  14:20:16", "4/23/2012  12:17:25", "Sep 30, 2011")
+    assert (h["version"], h["startup"], h["properties_version"]) == ("9.8b,  built today", "1/2/2020 at noon", "Jan 2, 2020")
     assert (h["montage_start"], h["montage_end"]) == (100.0, 130.0)
     a, b = tiles.orderBy("number").collect()
     assert (a["number"], a["x"], a["y"], a["start_time"], a["end_time"], a["stage_stop_time"], a["drift"]) == (0, 4, 5, 101.0, 110.0, 102.0, 1.57)
