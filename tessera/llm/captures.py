@@ -174,7 +174,7 @@ def merged_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
     position counts from 0 over all, capture from 1 within a urlkey, and changed says whether the digest differs from
     that of the capture before (true for the first). Equal captures are all kept; a null page_id sorts first.
 
-    Partitions follow each other in key order, and rows are in order within them.
+    The merged parts are written one a range, each in order; `position` is the order over all of them.
     """
     spark = found.sparkSession
     small_batches(spark)

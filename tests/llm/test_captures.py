@@ -68,7 +68,7 @@ def test_merge_against_brute_force(spark, monkeypatch):
         assert len(check(spark, rows, ranges, parts)) == len(rows) - 1
 
 
-def test_partitions_follow_each_other(spark, sf_dir):
+def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = captures.captures(pages).repartition(3)
     assert captures.merged_index(out, 4).count() == pages.count()
