@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, written
-from tessera.llm.tokens import VOCABULARY, Tokenizer, token_count
+from tessera.llm.tokens import VOCABULARY, Tokenizer, token_counts
 
 MAX_LEN, BUCKETS, BUDGET, SEED = 2048, 16, 65_536, 11
 SLICE = 100_000
@@ -58,7 +58,7 @@ def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 def sequences(docs: DataFrame, max_len: int = MAX_LEN, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start, length): each row's tokens in pieces of max_len, the last of what is left. A text without tokens (null or empty) has no piece."""
     small_batches(docs.sparkSession)
-    counted = docs.select("doc_id", token_count(F.col("text").cast("string"), Tokenizer(docs.sparkSession, path)).alias("n")).where("n > 0")
+    counted = token_counts(docs, Tokenizer(docs.sparkSession, path)).where("n > 0")
     pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / max_len) - 1).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * max_len
     return pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("n") - start).alias("length"))

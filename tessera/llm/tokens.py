@@ -22,14 +22,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import releasing, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,15 +67,16 @@ def valid(text: str | None) -> str:
     return "" if text is None else text.encode("utf-8", "replace").decode("utf-8") if not text.isascii() else text
 
 
-def token_count(text: Column, tokenizer: Tokenizer) -> Column:
-    """The number of tokens of a text; 0 for null."""
+def token_counts(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(doc_id, n): the number of tokens of each row's text; 0 for null. Each text is encoded once, whatever is done with n."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([len(tokenizer.encode(valid(x if isinstance(x, str) else None))) for x in texts], dtype="int64")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(tokenizer.encode(valid(x))) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
 
-    return count(text)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType())])
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(releasing(count), schema)
 
 
 def spans(ids: list[int], byte_lengths: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -162,4 +162,4 @@ def attributed(docs: DataFrame, rule: str = "majority", sections: str | None = N
             if row:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(row))), *[pa.array(np.concatenate(x)) for x in out]], names=schema.names)
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(releasing(count), schema)
