@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checkpoints import cut
+from tessera.operators.select import matches
+from tessera.operators.upsert import replaced
 
 
 def nearest_section(sections: DataFrame, wanted: int) -> DataFrame:
@@ -106,3 +108,18 @@ def moved_tiles(tiles: DataFrame, transforms: DataFrame, on: list[str]) -> DataF
     """Tile positions through their section's affine transform; tiles of sections without one go."""
     x, y = F.col("x"), F.col("y")
     return tiles.join(transforms, on).withColumn("_x", F.col("a") * x + F.col("b") * y + F.col("tx")).withColumn("y", F.col("c") * x + F.col("d") * y + F.col("ty")).withColumn("x", F.col("_x")).drop("_x", "a", "b", "c", "d", "tx", "ty")
+
+
+def volume_transforms(channels: DataFrame, transforms: DataFrame, edges: DataFrame, channel_pattern: str | None, transform_pattern: str | None) -> DataFrame:
+    """Transforms whose name and channel match, of the sections that a map has on either side."""
+    inside = edges.select(F.col("control").alias("section")).union(edges.select(F.col("mapped").alias("section"))).distinct()
+    chosen = channels.where(matches("channel", channel_pattern)).join(inside, "section", "left_semi")
+    return transforms.where(matches("transform", transform_pattern)).join(chosen.select("section", "channel").distinct(), ["section", "channel"], "left_semi")
+
+
+def imported_transforms(table: DataFrame, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """External transforms put in place of those with the same keys. Where control and mapped side are at different levels
+    (control_downsample, mapped_downsample), translations are brought to the finer one, which is the result's `downsample`."""
+    finer = F.least("control_downsample", "mapped_downsample")
+    scaled = rows.select(*[(F.col(x) * F.col("control_downsample") / finer).alias(x) if x in columns else F.col(x) for x in rows.columns if not x.endswith("_downsample")], finer.alias("downsample"))
+    return replaced(table, scaled, keys)

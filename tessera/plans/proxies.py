@@ -7,12 +7,14 @@ events for an acquisition log, suppliers for sections, documents for notes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import aggregates, graph, joins, lineage, raster, select, sets, upsert, windows
+from tessera.plans import paths, pipeline
 from tessera.sources.tables import Tables
 from tessera.streaming import logs
 
@@ -645,3 +647,57 @@ b AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
 def stream_sessions(t):
     done = logs.completed(logs.sessions(logs.events(t.spark, t.folder), late="100 days"))
     return done.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
+
+
+# Trees: regions hold nations, nations hold suppliers
+
+
+def _tree(t: Tables) -> DataFrame:
+    """Regions, nations and suppliers as elements of one document."""
+    text = lambda c: F.col(c).cast("string")
+    row = lambda df, i, p, o, tag, **attrs: df.select(i.alias("id"), p.alias("parent"), o.cast("long").alias("ord"), F.lit(tag).alias("tag"), F.create_map(*[x for k, v in attrs.items() for x in (F.lit(k), v)]).alias("attrs"))
+    root = row(t.spark.range(1), F.lit("v"), F.lit(None).cast("string"), F.col("id"), "Volume", Path=F.lit("/v"))
+    r = row(t.region, F.concat(F.lit("r"), text("r_regionkey")), F.lit("v"), F.col("r_regionkey"), "Block", Name=F.col("r_name"), Path=text("r_regionkey"))
+    n = row(t.nation, F.concat(F.lit("n"), text("n_nationkey")), F.concat(F.lit("r"), text("n_regionkey")), F.col("n_nationkey"), "Section", Number=text("n_nationkey"), Path=text("n_nationkey"))
+    s = row(t.supplier, F.concat(F.lit("s"), text("s_suppkey")), F.concat(F.lit("n"), text("s_nationkey")), F.col("s_suppkey"), "Channel", Name=F.col("s_name"), Balance=text("s_acctbal"))
+    return root.unionByName(r).unionByName(n).unionByName(s)
+
+
+@query("SELECT s_suppkey::VARCHAR AS supplier FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_nationkey > 3 AND s_acctbal < 2000")
+def path_matches(t):
+    tree = _tree(t)
+    found = paths.find_all(tree.where("parent is null"), tree, "Block/Section[@Number>3]/Channel[@Balance<2000]")
+    return found.select(F.substring("id", 2, 20).alias("supplier"))
+
+
+@query("SELECT n_regionkey::VARCHAR AS region, arg_min(s_suppkey, n_nationkey::BIGINT * 10000000 + s_suppkey)::VARCHAR AS first FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def path_first_match(t):
+    tree = _tree(t)
+    found = paths.find(tree.where("tag = 'Block'"), tree, "Section/Channel", "block")
+    return found.select(F.substring("block", 2, 20).alias("region"), F.substring("id", 2, 20).alias("first"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS supplier, n_nationkey::VARCHAR AS number, '/v/' || n_regionkey || '/' || n_nationkey AS full_path FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def inherited_attributes(t):
+    tree = _tree(t)
+    channels = tree.where("tag = 'Channel'").select("id")
+    number = paths.inherited_attribute(tree, "Number")
+    return channels.join(number, "id").join(paths.full_paths(tree), "id").select(F.substring("id", 2, 20).alias("supplier"), F.col("value").alias("number"), "full_path")
+
+
+PIPELINE = """<Pipeline Name="Balances"><Arguments><Argument flag="-Sections" dest="Sections"/></Arguments>
+<Iterate XPath="Block" VariableName="BlockNode"><Iterate XPath="Section" VariableName="SectionNode"><RequireSetMembership Attribute="Number" List="#Sections"/>
+<Select XPath="Channel[@Balance>0]" VariableName="ChannelNode"/><RequireMatch Root="#BlockNode" Attribute="Name" RegEx="A"/><PythonCall Function="first_balances" Channel="#ChannelNode"/></Iterate></Iterate></Pipeline>"""
+
+
+@pipeline.function
+def first_balances(rows: DataFrame, elements: DataFrame, Channel: str, **_) -> DataFrame:
+    balance = elements.select(F.col("id").alias(Channel), F.try_element_at("attrs", F.lit("Balance")).cast("double").alias("balance"))
+    return rows.join(balance, Channel).select(F.substring("SectionNode", 2, 20).alias("section"), F.substring(Channel, 2, 20).alias("channel"), "balance")
+
+
+@query("""SELECT n_nationkey::VARCHAR AS section, min(s_suppkey)::VARCHAR AS channel, arg_min(s_acctbal, s_suppkey) AS balance FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+WHERE s_acctbal > 0 AND n_nationkey BETWEEN 2 AND 20 AND r_name LIKE 'A%' GROUP BY n_nationkey""")
+def pipeline_run(t):
+    (made,) = pipeline.run(ElementTree.fromstring(PIPELINE), _tree(t), {"Sections": list(range(2, 21))})
+    return made

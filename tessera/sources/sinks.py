@@ -71,3 +71,52 @@ def folder_index(files: DataFrame, required: list[str]) -> DataFrame:
     rows = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), base.alias("name"))
     found = rows.groupBy("folder").agg(F.array_sort(F.collect_set("name")).alias("files"))
     return found.where(F.size(F.array_intersect("files", F.array(*[F.lit(r) for r in required]))) == len(required)).orderBy(F.desc("folder"))
+
+
+def attribute_rows(elements: DataFrame, hidden: tuple[str, ...] = ("CreationDate", "Version", "Checksum")) -> DataFrame:
+    """(id, label, value): an element's attributes as a reader's table, numbers with at most four places."""
+    rows = elements.select("id", F.explode("attrs").alias("label", "value")).where(~F.col("label").isin(*hidden))
+    number = F.col("value").try_cast("double")
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", number), "0+$", ""), "[.]$", "")
+    return rows.withColumn("value", F.when(number.isNotNull() & F.contains("value", F.lit(".")), short).otherwise(F.col("value")))
+
+
+def anchor(path: Column, text: Column) -> Column:
+    """A link to a file."""
+    from tessera.functions.scalar import html_escaped
+
+    return F.concat(F.lit('<a href="'), html_escaped(F.replace(path, F.lit(" "), F.lit("%20"))), F.lit('">'), html_escaped(text), F.lit("</a>"))
+
+
+def image_tag(path: Column, width: Column, height: Column, most_width: float, most_height: float) -> Column:
+    """An image within limits, linked to itself."""
+    from tessera.functions.scalar import fitted, html_escaped
+
+    size = fitted(width, height, most_width, most_height)
+    src = html_escaped(F.replace(path, F.lit(" "), F.lit("%20")))
+    return F.concat(F.lit('<a href="'), src, F.lit('"><img src="'), src, F.format_string('" width="%d" height="%d"/></a>', size["width"].cast("long"), size["height"].cast("long")))
+
+
+def copied_files(files: DataFrame, folder: str) -> DataFrame:
+    """(path, target) of files copied into a folder by the tasks that hold their rows, under their own names. An existing
+    target is replaced as a whole, so a repeated task does no harm."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyarrow import fs
+
+    from tessera.shipping import ship
+
+    ship(files.sparkSession)
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            targets = [f"{folder.rstrip('/')}/{p.rsplit('/', 1)[-1]}" for p in f["path"]]
+            for source, target in zip(f["path"], targets):
+                a, x = fs.FileSystem.from_uri(source)
+                b, y = fs.FileSystem.from_uri(target)
+                b.create_dir(y.rsplit("/", 1)[0], recursive=True)
+                fs.copy_files(x, y, source_filesystem=a, destination_filesystem=b)
+            yield pd.DataFrame({"path": f["path"], "target": targets})
+
+    return files.select("path").mapInPandas(copy, "path string, target string")

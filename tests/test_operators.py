@@ -184,3 +184,15 @@ def test_raster(spark):
     assert [one(spark, raster.stretched(F.lit(v), 10, 0, 1.0)) for v in (-1.0, 5.0, 11.0)] == [0.0, 0.5, 1.0]
     flat = raster.unshaded(px, raster.shading(px, ["t"]), ["t"], bright=True).where("v <> 0").select("v").distinct().collect()
     assert [r["v"] for r in flat] == [7.5]
+
+
+def test_volume_and_imported_transforms(spark):
+    ch = spark.createDataFrame([(1, "TEM"), (2, "TEM"), (3, "TEM"), (2, "Other")], "section long, channel string")
+    tr = spark.createDataFrame([(s, c, t) for s, c in ((1, "TEM"), (2, "TEM"), (3, "TEM"), (2, "Other")) for t in ("Grid", "ToVolume")], "section long, channel string, transform string")
+    e = spark.createDataFrame([(1, 2)], "control long, mapped long")
+    got = graph.volume_transforms(ch, tr, e, "tem", "ToV").collect()
+    assert sorted((r["section"], r["transform"]) for r in got) == [(1, "ToVolume"), (2, "ToVolume")]
+    t = spark.createDataFrame([(1, 5.0, 1.0), (2, 6.0, 1.0)], "id long, dx double, downsample double")
+    new = spark.createDataFrame([(2, 3.0, 8.0, 4.0), (3, 1.0, 2.0, 2.0)], "id long, dx double, control_downsample double, mapped_downsample double")
+    out = graph.imported_transforms(t, new, ["id"], ["dx"]).collect()
+    assert sorted((r["id"], r["dx"], r["downsample"], r["change"]) for r in out) == [(1, 5.0, 1.0, "kept"), (2, 6.0, 4.0, "replaced"), (3, 1.0, 2.0, "added")]

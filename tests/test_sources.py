@@ -181,3 +181,25 @@ def test_elements(spark, tmp_path):
     assert xml == '<Volume Name="v"><Block Name="TEM" Path="TEM"><Section Number="1" Path="0001"><Channel Name="c"><Notes>x &amp; y</Notes></Channel></Section></Block></Volume>'
     again = elements.parsed(table(spark, xml))
     assert elements.as_xml(again) == xml
+
+
+def test_reports(spark, tmp_path):
+    e = spark.createDataFrame([("a", {"Name": "x", "Gamma": "0.90000001", "Version": "1.0", "N": "12"})], "id string, attrs map<string,string>")
+    assert {(r["label"], r["value"]) for r in sinks.attribute_rows(e).collect()} == {("Name", "x"), ("Gamma", "0.9"), ("N", "12")}
+    html = spark.range(1).select(sinks.anchor(F.lit("a b.png"), F.lit("<x>")).alias("a"), sinks.image_tag(F.lit("p.png"), F.lit(2000), F.lit(1000), 100, 100).alias("i")).first()
+    assert html["a"] == '<a href="a%20b.png">&lt;x&gt;</a>' and html["i"] == '<a href="p.png"><img src="p.png" width="100" height="50"/></a>'
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "a", "w"), (2, "b", "<y>")], "section long, kind string, text string")
+    report = sinks.table_report(rows, "section", "kind", "text")
+    assert [tuple(r) for r in report.orderBy("section").collect()] == [(1, "w; x", ""), (2, "", "<y>")] or [tuple(r) for r in report.orderBy("section").collect()] == [(1, "w; x", None), (2, None, "<y>")]
+    page = sinks.html_report(report, "section")
+    assert page.index("<td>2</td>") < page.index("<td>1</td>") and "&lt;y&gt;" in page
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.txt").write_text("content")
+    files = spark.createDataFrame([(f"file://{tmp_path}/in/f.txt",)], "path string")
+    assert sinks.copied_files(files, f"file://{tmp_path}/out").count() == 1 and (tmp_path / "out" / "f.txt").read_text() == "content"
+    index = sinks.folder_index(spark.createDataFrame([("/a/x.png",), ("/a/y.txt",), ("/b/x.png",)], "path string"), ["x.png", "y.txt"])
+    assert [(r["folder"], r["files"]) for r in index.collect()] == [("/a", ["x.png", "y.txt"])]
+    s = spark.createDataFrame([(1,)], "section long")
+    tr = spark.createDataFrame([(1, "t2"), (1, "t1")], "section long, name string")
+    doc = sinks.export_document(s, tr, tr.where("section = 9")).first()["document"]
+    assert '"num_transforms":2' in doc and '"num_tilesets":0' in doc and doc.index("t1") < doc.index("t2")
