@@ -25,13 +25,15 @@ SYMBOLS = "[^#$%&*!|@{}<>~^=+_\\\\/]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """Fails if the measurement is below `least` or above `most`; with `above_words` set only for texts of at least so many words."""
+    """Fails if the measurement is below `least` or above `most`; with `above_words` set only for texts of at least so many words.
+    With `falls_from` set `least` falls beyond so many words, with the root of their number, as the share of distinct words of clean prose does."""
 
     name: str
     measure: str
     least: float | None = None
     most: float | None = None
     above_words: int = 0
+    falls_from: int = 0
 
 
 #: The position of a rule is its bit. Rules are only ever appended, so that stored masks stay valid.
@@ -43,7 +45,7 @@ RULES = (
     Rule("few_letters", "letter_share", least=0.6, above_words=20),
     Rule("upper_case", "upper_share", most=0.5),
     Rule("symbols", "symbols_per_word", most=0.3),
-    Rule("repeated_words", "distinct_share", most=None, least=0.3, above_words=20),
+    Rule("repeated_words", "distinct_share", most=None, least=0.3, above_words=20, falls_from=20_000),
     Rule("repeated_lines", "repeated_line_share", most=0.5),
     Rule("digits", "digit_share", most=0.6, above_words=20),
     Rule("bullets", "bullet_share", most=0.9, above_words=20),
@@ -68,7 +70,7 @@ class Policy:
 
 
 POLICIES = {
-    "v1": Policy(mask("few_words", "many_words", "short_words", "long_words", "few_letters", "upper_case", "symbols", "repeated_words", "repeated_lines", "digits", "placeholder")),
+    "v1": Policy(mask("few_words", "short_words", "long_words", "few_letters", "upper_case", "symbols", "repeated_words", "repeated_lines", "digits", "placeholder")),
     "v2": Policy((1 << len(RULES)) - 1),
     "v3": Policy((1 << len(RULES)) - 1, 1),
 }
@@ -100,7 +102,8 @@ def _bits() -> Column:
     for k, r in enumerate(RULES):
         bad = F.lit(False)
         if r.least is not None:
-            bad = bad | (F.col(r.measure) < r.least)
+            falling = F.sqrt(F.lit(float(r.falls_from)) / F.greatest(F.col("n_words"), F.lit(r.falls_from)))
+            bad = bad | (F.col(r.measure) < (F.lit(r.least) * falling if r.falls_from else r.least))
         if r.most is not None:
             bad = bad | (F.col(r.measure) > r.most)
         if r.above_words:
@@ -166,7 +169,8 @@ def ledger_sql(table: str = "documents", policies: dict[str, Policy] = POLICIES)
     """with_policies(ledger(table)) in DuckDB's SQL."""
     rules = []
     for k, r in enumerate(RULES):
-        bad = " OR ".join(x for x in (r.least is not None and f"{r.measure} < {r.least}", r.most is not None and f"{r.measure} > {r.most}") if x)
+        falling = f" * sqrt({r.falls_from}.0::DOUBLE / greatest(n_words, {r.falls_from}))" if r.falls_from else ""
+        bad = " OR ".join(x for x in (r.least is not None and f"{r.measure} < {r.least}{falling}", r.most is not None and f"{r.measure} > {r.most}") if x)
         rules.append(f"CASE WHEN ({bad}){f' AND n_words >= {r.above_words}' if r.above_words else ''} THEN {1 << k} ELSE 0 END")
     keeps = ", ".join(f"bit_count(bits & {p.mask}) <= {p.tolerated} AS keep_{v}" for v, p in policies.items())
     ws = "' ' || chr(9) || chr(10) || chr(13) || chr(12)"

@@ -104,3 +104,12 @@ def test_ablations(spark, version):
     want = {r.name: (sum(b >> k & 1 for b in bits), keep(p.mask), keep(p.mask & ~(1 << k))) for k, r in enumerate(rules.RULES) if p.mask >> k & 1}
     assert got == want
     assert rules.ablations(rules.ledger(made(spark, []))).count() == 0
+
+
+def test_very_long_clean_texts_stay(spark):
+    """Distinct words of prose grow with about the root of its length; the same 500 words over and over are repetition at any length."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k + 1000))
+    clean = lambda n: " ".join(word(k // 7 if k % 7 == 0 else k % 300) + ("\n" if k % 20 == 19 else "") for k in range(n))
+    again = " ".join(word(k % 500) for k in range(500_000))
+    rows = [(1, clean(100_000)), (2, clean(500_000)), (3, clean(1_200_000)), (4, again)]
+    assert sorted(r["doc_id"] for r in rules.passing(made(spark, rows)).select("doc_id").collect()) == [1, 2, 3]
