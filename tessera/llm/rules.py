@@ -191,3 +191,14 @@ d AS (SELECT doc_id, n_words, {share("visible", "n_words")} AS mean_word, {share
   CAST({count("[^{}]+")} AS BIGINT) AS braces, CASE WHEN contains(lower(t), 'lorem ipsum') THEN 1 ELSE 0 END::BIGINT AS placeholder FROM c),
 e AS (SELECT *, CAST({" + ".join(rules)} AS BIGINT) AS bits FROM d)
 SELECT *, {keeps} FROM e"""
+
+
+def ablations_sql(table: str = "documents", policies: dict[str, Policy] = POLICIES) -> str:
+    """ablations(ledger(table)) in DuckDB's SQL."""
+    cases = ", ".join(f"('{v}', '{r.name}', {1 << k}, {p.mask}, {p.tolerated})" for v, p in policies.items() for k, r in enumerate(RULES) if p.mask >> k & 1)
+    total = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""
+WITH ledger AS ({ledger_sql(table, policies)}), cases(version, rule, bit, mask, tolerated) AS (VALUES {cases})
+SELECT version, rule, {total("(bits & bit) <> 0")} AS failing, {total("bit_count(bits & mask) <= tolerated")} AS kept,
+  {total("bit_count(bits & (mask - bit)) <= tolerated")} AS kept_without
+FROM ledger CROSS JOIN cases GROUP BY version, rule"""

@@ -1,9 +1,10 @@
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import rules
+from tessera.llm import queries, rules
 
 SCHEMA = "doc_id long, text string, bits long, n_words long, _t string, _0 string, lang string"
 TEXTS = [
@@ -113,3 +114,13 @@ def test_very_long_clean_texts_stay(spark):
     again = " ".join(word(k % 500) for k in range(500_000))
     rows = [(1, clean(100_000)), (2, clean(500_000)), (3, clean(1_200_000)), (4, again)]
     assert sorted(r["doc_id"] for r in rules.passing(made(spark, rows)).select("doc_id").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op3_rule_ablations"])
+def test_queries_give_the_rows_of_their_sql(spark, sf_dir, name):
+    got = queries.QUERIES[name](spark, sf_dir)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()
+    plain = lambda rows: sorted((tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+    assert len(want) and plain(got.collect()) == plain(want)
