@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, a laptop) a temporary one, set for the session."""
+    """The folder named by spark.checkpoint.dir; where it is unset a temporary one, set for the session, if all runs on this machine; elsewhere executors couldn't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
