@@ -1,11 +1,10 @@
 """A globally ordered capture index by external merge.
 
-Every partition of captures is sorted by itself into a run: URL key, then timestamp, then page_id. Runs are cut into blocks
-of some thousand captures and written to the shared scratch folder with their first and last keys. The blocks' first keys
-give splitters by which the key range is divided; a range gets the blocks that overlap it and merges their runs with a
-loser tree, decoding one block of a run at a time and leaving what belongs to its neighbours. Captures are sorted once, in
-their run; moving them is moving packed blocks. A URL with very many captures is divided like anything else; the numbers
-in its history are carried from range to range in a summary of one row a range.
+A sample of the keys (URL key, then timestamp, then page_id) divides their range into as many parts as the captures' bytes
+call for. Every partition of captures is then sorted by itself into a run, and runs are cut at the splitters and into
+blocks of some thousand captures, so that each capture moves once, inside a packed block, to the task that merges its range.
+There a loser tree merges the runs, decoding one block of a run at a time. A URL with very many captures is divided like
+anything else; the numbers in its history are carried from range to range in a summary of one row a range.
 
 The URL key: lower case, without scheme, user, default port, leading "www.", fragment and trailing slash of the path; the
 host's labels reversed and joined by commas, then ")", path, and the query's arguments in order.
@@ -13,10 +12,10 @@ host's labels reversed and joined by commas, then ")", path, and the query's arg
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,9 +24,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import scratch_path, small_batches
 
 BLOCK = 2048
+#: Of a range, in keys and URLs, and the keys in the sample for each range.
+RANGE_BYTES, SAMPLED = 8 << 20, 64
 #: The time of page_id 0, and the seconds between one page_id and the next, for tables without capture times.
 EPOCH, STEP = 1_704_067_200, 60
-CAPTURE = pa.schema([("key", pa.string()), ("urlkey", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("length", pa.int64())])
+CAPTURE = ["key", "urlkey", "timestamp", "page_id", "url", "digest", "length"]
 
 
 class LoserTree:
@@ -106,39 +107,66 @@ def captures(pages: DataFrame, timestamp: Column | None = None) -> DataFrame:
     return made
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition as blocks."""
-    run, number = uuid.uuid4().hex, 0
-    held: list[tuple] = []
-    for batch in batches:
-        for k in range(0, len(batch), BLOCK):
-            part = batch.slice(k, BLOCK)
-            keys = part.column("key")
+def keyed(found: DataFrame) -> DataFrame:
+    """Captures with the key that they are ordered by: its page_id has 20 digits that sort as the numbers do, negative ones too."""
+    number = F.coalesce(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))
+    return found.withColumn("key", F.concat_ws("\u0000", F.col("urlkey"), F.col("timestamp"), number)).select(*CAPTURE)
+
+
+def splitters(rows: DataFrame, ranges: int | None = None) -> list[str]:
+    """At most ranges - 1 keys in order, from a sample of SAMPLED keys for each range. By default a range has some RANGE_BYTES of keys and URLs."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("url") + 64), F.lit(0))).first()
+    ranges = ranges or -(-size // RANGE_BYTES)
+    if ranges <= 1:
+        return []
+    some = rows.select("key").sample(min(1.0, SAMPLED * ranges / n), seed=1)
+    firsts = some.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first"))
+    return sorted({r["first"] for r in firsts.collect()})[1:]
+
+
+def runs(rows: DataFrame, edges: list[str]) -> DataFrame:
+    """(range, run, block, captures, data): every partition of keyed captures sorted and packed in blocks, each inside of one
+    of the ranges that the edges divide. Each capture is in one block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, number, held, size, now = uuid.uuid4().hex, 0, [], 0, 0
+
+        def packed() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(part)
-            held.append((run, number, keys[0].as_py(), keys[-1].as_py(), len(part), sink.getvalue().to_pybytes()))
-            number += 1
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(pa.Table.from_batches(held).combine_chunks())
+            values = (now, run, number, size, sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["range", "run", "block", "captures", "data"])
+
+        for batch in batches:
+            keys, at = batch.column("key").to_pylist(), 0
+            while at < len(keys):
+                mine = bisect.bisect_right(edges, keys[at])
+                if held and (mine != now or size == BLOCK):
+                    yield packed()
+                    held, size, number = [], 0, number + 1
+                now = mine
+                end = len(keys) if mine == len(edges) else bisect.bisect_left(keys, edges[mine], at)
+                end = min(end, at + BLOCK - size)
+                held.append(batch.slice(at, end - at))
+                size, at = size + end - at, end
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["run", "block", "first", "last", "captures", "data"])
-            held = []
+            yield packed()
+
+    return rows.sortWithinPartitions("key").mapInArrow(pack, "range int, run string, block int, captures long, data binary")
 
 
-def _merge(splitters: list[str]):
+def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks of whole ranges, sorted by range, run and block, to captures in order with their range and history."""
 
-    def captures_of(blocks: list[bytes], low: str | None, high: str | None) -> Iterator[tuple]:
+    def captures_of(blocks: list[bytes]) -> Iterator[tuple]:
         for data in blocks:
             table = pa.ipc.open_stream(data).read_all()
-            for row in zip(*(table.column(c).to_pylist() for c in CAPTURE.names)):
-                if (low is None or row[0] >= low) and (high is None or row[0] < high):
-                    yield row
+            yield from zip(*(table.column(c).to_pylist() for c in CAPTURE))
 
     def one(r: int, runs: dict[str, list[bytes]]) -> Iterator[pd.DataFrame]:
-        low = splitters[r - 1] if r else None
-        high = splitters[r] if r < len(splitters) else None
         rows, position, capture, urlkey, digest = [], 0, 0, None, None
-        for row in LoserTree([captures_of(b, low, high) for b in runs.values()]):
+        for row in LoserTree([captures_of(b) for b in runs.values()]):
             capture, digest = (capture + 1, digest) if row[1] == urlkey else (1, None)
             urlkey = row[1]
             rows.append((r, position, capture, digest, *row[1:]))
@@ -150,19 +178,16 @@ def _merge(splitters: list[str]):
         if rows:
             yield pd.DataFrame(rows, columns=MERGED)
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, runs = None, {}
-        for frame in frames:
-            for r, run, data in zip(frame["range"], frame["run"], frame["data"]):
-                if r != now and now is not None:
-                    yield from one(now, runs)
-                    runs = {}
-                now = r
-                runs.setdefault(run, []).append(data)
-        if now is not None:
-            yield from one(now, runs)
-
-    return merge
+    now, runs = None, {}
+    for frame in frames:
+        for r, run, data in zip(frame["range"], frame["run"], frame["data"]):
+            if r != now and now is not None:
+                yield from one(now, runs)
+                runs = {}
+            now = r
+            runs.setdefault(run, []).append(data)
+    if now is not None:
+        yield from one(now, runs)
 
 
 MERGED = ["range", "local", "capture", "before", "urlkey", "timestamp", "page_id", "url", "digest", "length"]
@@ -178,27 +203,13 @@ def merged_index(found: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = found.sparkSession
     small_batches(spark)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # 20 digits that sort as the numbers do, negative ones too
-    number = F.coalesce(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit(""))
-    key = F.concat_ws("\u0000", F.col("urlkey"), F.col("timestamp"), number)
+    rows = keyed(found)
+    edges = splitters(rows, ranges)
     path = scratch_path(spark, "runs")
-    runs = found.withColumn("key", key).select(*CAPTURE.names).sortWithinPartitions("key").mapInArrow(_runs, "run string, block int, first string, last string, captures long, data binary")
-    runs.write.option("compression", "none").parquet(path)
-    blocks = spark.read.parquet(path)
-    firsts = blocks.select("first").repartitionByRange(ranges, "first").groupBy(F.spark_partition_id().alias("p")).agg(F.min("first").alias("first"))
-    splitters = sorted({r["first"] for r in firsts.collect()})[1:]
-
-    @F.pandas_udf("array<int>")
-    def overlapped(first: pd.Series, last: pd.Series) -> pd.Series:
-        edges = np.array(splitters, object)
-        a = np.searchsorted(edges, first.to_numpy(object), "right") if len(edges) else np.zeros(len(first), int)
-        z = np.searchsorted(edges, last.to_numpy(object), "right") if len(edges) else np.zeros(len(first), int)
-        return pd.Series([list(range(x, y + 1)) for x, y in zip(a, z)])
-
-    sent = blocks.withColumn("range", F.explode(overlapped("first", "last"))).select("range", "run", "block", "data")
+    runs(rows, edges).write.option("compression", "none").parquet(path)
+    blocks = spark.read.parquet(path).select("range", "run", "block", "data")
     path = scratch_path(spark, "merged")
-    sent.repartitionById(len(splitters) + 1, F.col("range")).sortWithinPartitions("range", "run", "block").mapInPandas(_merge(splitters), MERGED_TYPES).write.parquet(path)
+    blocks.repartitionById(len(edges) + 1, F.col("range")).sortWithinPartitions("range", "run", "block").mapInPandas(_merge, MERGED_TYPES).write.parquet(path)
     merged = spark.read.parquet(path)
     ends = merged.groupBy("range").agg(F.count("*").alias("n"), F.min("local").alias("zero"), *[F.min_by(c, "local").alias(f"first_{c}") for c in ("urlkey", "digest")], *[F.max_by(c, "local").alias(f"last_{c}") for c in ("urlkey", "digest", "capture")])
     carried, position, urlkey, digest, capture = [], 0, None, None, 0

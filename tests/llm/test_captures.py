@@ -68,6 +68,28 @@ def test_merge_against_brute_force(spark, monkeypatch):
         assert len(check(spark, rows, ranges, parts)) == len(rows) - 1
 
 
+def test_each_capture_moves_once(spark, monkeypatch):
+    """Blocks are cut at the splitters: no more of them than full ones and one for each run and range."""
+    monkeypatch.setattr(captures, "BLOCK", 50)
+    rows = [(k, f"http://h{k * 7919 % 211}.example.com/{k % 17}", "page") for k in range(4000)]
+    keyed = captures.keyed(captures.captures(made(spark, rows)).repartition(8))
+    edges = captures.splitters(keyed, 40)
+    assert 20 <= len(edges) < 40 and edges == sorted(edges)
+    blocks = captures.runs(keyed, edges).drop("data").collect()
+    assert sum(b["captures"] for b in blocks) == 4000 and max(b["captures"] for b in blocks) <= 50
+    assert len(blocks) <= 4000 // 50 + 8 * (len(edges) + 1)
+    assert len({(b["run"], b["block"]) for b in blocks}) == len(blocks)
+    per_range = [sum(b["captures"] for b in blocks if b["range"] == r) for r in range(len(edges) + 1)]
+    assert max(per_range) < 4 * 4000 / 40
+
+
+def test_ranges_follow_from_bytes(spark, monkeypatch):
+    keyed = captures.keyed(captures.captures(made(spark, [(k, f"http://h{k}.example.com/", "page") for k in range(1000)])))
+    assert captures.splitters(keyed) == []
+    monkeypatch.setattr(captures, "RANGE_BYTES", 20_000)
+    assert 4 <= len(captures.splitters(keyed)) <= 20
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = captures.captures(pages).repartition(3)
