@@ -10,8 +10,9 @@ A token whose span crosses section boundaries is allocated by a rule:
 
 A token that holds part of a character only covers that character. Tokens outside all sections count for none.
 
-Runs of more than 20,000 white-space characters are encoded in pieces of that length, since the tokenizer's pattern can't
-match longer ones; all other texts are encoded as they are, whatever their length.
+The tokenizer's pattern can't match very long runs of white space. It makes of such a run one piece, all of it but the last
+character if another character follows, so long runs are cut out there and merged as the one piece that they are: the
+tokens are those of the whole text, whatever its length.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from tessera.llm.common import releasing, small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("start", "majority", "split")
-_LONG_SPACE = re.compile(r"(\s{20000})")
+#: White space as the pattern sees it, in runs that are worth cutting out.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @functools.cache
@@ -54,9 +56,14 @@ class Tokenizer:
 
     def encode(self, text: str) -> list[int]:
         e = _encoding(self.ranks.value)[0]
-        if len(text) < 20000:
-            return e.encode_ordinary(text)
-        return [t for part in _LONG_SPACE.split(text) if part for t in e.encode_ordinary(part)]
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text) if len(text) >= 1000 else ():
+            a, z = run.span()
+            z -= z < len(text)  # the last one goes with what follows
+            out += e.encode_ordinary(text[at:a])
+            out += e._encode_single_piece(text[a:z])
+            at = z
+        return out + e.encode_ordinary(text[at:]) if at else e.encode_ordinary(text)
 
     def byte_lengths(self) -> np.ndarray:
         return _encoding(self.ranks.value)[1]

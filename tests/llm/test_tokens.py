@@ -73,11 +73,31 @@ def test_given_sections(spark, rule):
             assert [(r["tokens"], r["crossing"]) for r in got] == [(pytest.approx(a), b) for a, b in zip(out, crossing)]
 
 
+def whole(tok, text):
+    """The tokenizer's own encoding of a whole text."""
+    return tokens._encoding(tok.ranks.value)[0].encode_ordinary(text)
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001, 20_000, 60_000])
+def test_long_white_space_as_in_whole_texts(spark, n):
+    tok = tokens.Tokenizer(spark)
+    for run in (" " * n, "\n" * n, " \n" * (n // 2), "\t \u2003\xa0" * (n // 4), "\u3000" * (n - 1) + " "):
+        for text in (run, "a" + run, run + "b", f"a{run}b", f"a{run}'s{run} 1{run}", f"x {run}.{run}\x1c{run}y" * 2):
+            assert tok.encode(text) == whole(tok, text)
+
+
+def test_white_space_longer_than_the_pattern_matches(spark):
+    tok = tokens.Tokenizer(spark)
+    text = "a" + " " * 1_000_000 + "b"
+    got = tokens.attributed(made(spark, [(1, text), (2, "\n" * 1_000_000 + "c")])).groupBy("doc_id").agg({"tokens": "sum"}).collect()
+    assert len(got) == 2 and len(tok.encode(text)) == 1_000_001
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tok = tokens.Tokenizer(spark)
     got = {r["doc_id"]: r["n"] for r in tokens.attributed(docs).groupBy("doc_id").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "n").collect()}
-    assert got == {r["doc_id"]: len(tok.encode(r["text"])) for r in docs.collect()}
+    assert got == {r["doc_id"]: len(whole(tok, r["text"])) for r in docs.collect()}
 
 
 def test_empty(spark):
