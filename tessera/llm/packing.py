@@ -3,7 +3,9 @@
 Texts are cut into sequences of at most `max_len` tokens (every token is in one sequence). The histogram of all sequences'
 lengths, max_len numbers at most, goes to the driver; dynamic programming over it finds the `buckets` bucket lengths with
 the least padding. A sequence is padded to the least bucket length that holds it. Inside a bucket sequences are ordered by
-a seeded hash and every `budget // bucket length` of them are a batch, so that only a bucket's last batch isn't full.
+a seeded hash and every `budget // bucket length` of them are a batch, so that only a bucket's last batch isn't full. The
+hash is of doc_id, piece and the number of the copy: repetitions of a document, which follow each other where sources were
+mixed, go to places of their own, and so do rows without doc_id.
 
 The place in a bucket is found without sorting a bucket in one task: sequences are ranked inside slices of the hash's
 range of some 100,000 each, and a slice's offset is the number of sequences in the slices before it.
@@ -56,12 +58,12 @@ def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 
 
 def sequences(docs: DataFrame, max_len: int = MAX_LEN, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, start, length): each row's tokens in pieces of max_len, the last of what is left. A text without tokens (null or empty) has no piece."""
+    """(doc_id, copy, piece, start, length): each row's tokens in pieces of max_len, the last of what is left. A text without tokens (null or empty) has no piece."""
     small_batches(docs.sparkSession)
     counted = token_counts(docs, Tokenizer(docs.sparkSession, path)).where("n > 0")
-    pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / max_len) - 1).cast("int"))).alias("piece"))
+    pieces = counted.select("doc_id", "copy", "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / max_len) - 1).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * max_len
-    return pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("n") - start).alias("length"))
+    return pieces.select("doc_id", "copy", "piece", start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("n") - start).alias("length"))
 
 
 def packed(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = SEED, path: str = VOCABULARY) -> DataFrame:
@@ -84,12 +86,12 @@ def packed(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budg
     for b in reversed(lengths):
         bucket = F.when(F.col("length") <= b, F.lit(b)).otherwise(bucket)
         slices = F.when(F.col("bucket") == b, F.lit(max(1, -(-inside[b] // SLICE)))).otherwise(slices)
-    h = F.xxhash64(F.lit(seed), "doc_id", "piece")
+    h = F.xxhash64(F.lit(seed), "doc_id", "piece", "copy")
     placed = rows.withColumn("bucket", bucket).withColumn("h", h).withColumn("slice", F.pmod(F.col("h"), slices.cast("long")))
     numbers = placed.groupBy("bucket", "slice").count()
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(numbers.select("bucket", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")), "offsets")
-    rank = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("h", "doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("h", "doc_id", "piece", "copy")) - 1
     ranked = placed.withColumn("rank", rank).join(offsets, ["bucket", "slice"]).withColumn("rank", F.col("rank") + F.col("offset"))
     each = F.floor(F.lit(budget) / F.col("bucket"))
     return ranked.select("doc_id", "piece", "start", "length", "bucket", F.floor(F.col("rank") / each).alias("batch"), (F.col("rank") % each).cast("int").alias("slot"))

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,14 +76,26 @@ def valid(text: str | None) -> str:
 
 
 def token_counts(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(doc_id, n): the number of tokens of each row's text; 0 for null. Each text is encoded once, whatever is done with n."""
+    """(doc_id, n, copy): the number of tokens of each row's text; 0 for null. Each text is encoded once, whatever is done with n.
+
+    copy is 0 for the first row of a doc_id in a task; further ones and rows with null doc_id have numbers that no other row
+    with that doc_id has in any task.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {None: 1}
+        task = TaskContext.get().partitionId() << 40
         for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
             n = [len(tokenizer.encode(valid(x))) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType())])
+            copies = []
+            for d in ids:
+                k = seen.get(d, 0)
+                copies.append(task + k if k else 0)
+                seen[d] = k + 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(copies, pa.int64())], names=["doc_id", "n", "copy"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("copy", T.LongType())])
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(releasing(count), schema)
 
 

@@ -61,6 +61,26 @@ def test_slices_make_one_order(spark, monkeypatch):
     assert sorted((r["batch"], r["slot"]) for r in out) == [(k // 32, k % 32) for k in range(95)]
 
 
+def test_copies_are_packed_apart(spark):
+    """Repetitions that follow each other, as mixing leaves them, are spread like any other sequences."""
+    rows = [(k, f"some words {k}") for k in range(300) for _ in range(3)]
+    out = packing.packed(made(spark, rows), max_len=16, buckets=1, budget=64).collect()
+    batches = {}
+    for r in out:
+        batches.setdefault(r["batch"], []).append(r["doc_id"])
+    assert len(out) == 900
+    together = sum(len(b) - len(set(b)) for b in batches.values())
+    assert together < 30, "nine are expected by chance"
+
+
+def test_rows_without_doc_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 10)
+    out = packing.packed(made(spark, [(None, "some words")] * 200), max_len=64, buckets=1, budget=64)
+    assert sorted((r["batch"], r["slot"]) for r in out.collect()) == [(k // 32, k % 32) for k in range(200)]
+    copies = packing.sequences(made(spark, [(None, "some words")] * 200)).select("copy").distinct().count()
+    assert copies == 200
+
+
 def test_empty(spark):
     assert packing.packed(made(spark, [])).collect() == [] and packing.packed(made(spark, [(1, None)])).collect() == []
     with pytest.raises(ValueError):
