@@ -16,8 +16,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": lambda s, d: tokens.attributed(_docs(s, d)),
     "op2_nearest_neighbours": lambda s, d: ann.neighbours(s.read.parquet(f"{d}/embeddings.parquet")),
-    "op3_quality_rules": lambda s, d: rules.with_policies(rules.ledger(_docs(s, d))),
-    "op3_rule_ablations": lambda s, d: rules.ablations(rules.ledger(_docs(s, d))),
+    "op3_quality_rules": lambda s, d: rules.with_policies(rules.stored_ledger(_docs(s, d))),
+    "op3_rule_ablations": lambda s, d: rules.ablations(rules.stored_ledger(_docs(s, d))),
     "op4_mix_sources": lambda s, d: mixing.sampled(_docs(s, d)),
     "op5_ngram_jaccard": lambda s, d: jaccard.jaccard_join(_docs(s, d)),
     "op6_packing": lambda s, d: packing.packed(_docs(s, d)),

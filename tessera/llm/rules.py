@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 SPACE = " \t\n\r\f"
 SYMBOLS = "[^#$%&*!|@{}<>~^=+_\\\\/]+"
 
@@ -129,6 +131,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs.select("doc_id", F.col("text").alias("_t")), ["doc_id"])
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """ledger(docs), written once to the shared scratch folder: what policies and ablations read."""
+    return written(ledger(docs), "ledger")
+
+
 def kept_by(bits: Column, policy: Policy) -> Column:
     return F.bit_count(bits.bitwiseAND(F.lit(policy.mask).cast("long"))) <= policy.tolerated
 
@@ -155,14 +162,14 @@ def ablations(rows: DataFrame, policies: dict[str, Policy] = POLICIES) -> DataFr
 
 
 def passing(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
-    """docs without the rows that the policy rejects; all columns stay as they are, whatever their names."""
+    """docs without the rows that the policy rejects; all columns stay as they are, whatever their names.
+
+    The ledger is stored beside its rows, so that each text is measured once; the policy reads the stored bits.
+    """
     names = [f"_{k}" for k in range(len(docs.columns))]
-    inside = docs.toDF(*names).select(F.struct(*names).alias("_row"), F.col(names[docs.columns.index("text")]).alias("_t"))
-    # floor(rand()) is 0; with it the optimizer leaves the condition above the projection, where each measurement is made once,
-    # instead of making it anew for each use in a filter below
-    bits = measured(inside, ["_row"]).select("_row", (F.col("bits") + F.floor(F.rand(0))).alias("bits"))
-    kept = bits.where(kept_by(F.col("bits"), policy))
-    return kept.select(*[F.col("_row")[n].alias(c) for n, c in zip(names, docs.columns)])
+    inside = docs.toDF(*names).withColumn("_t", F.col(names[docs.columns.index("text")]))
+    stored = written(measured(inside, names), "ledger")
+    return stored.where(kept_by(F.col("bits"), policy)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def ledger_sql(table: str = "documents", policies: dict[str, Policy] = POLICIES) -> str:
