@@ -207,9 +207,10 @@ def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, max_r
 
 
 def identified_only(docs: DataFrame, max_rate: float = MAX_RATE, train_bytes: int = TRAIN_BYTES, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """docs without the rows whose text has no language; all columns stay as they are."""
+    """docs without the rows whose text has no language; all columns stay as they are, whatever their names."""
     small_batches(docs.sparkSession)
     model = train(docs, train_bytes, train_docs)
-    name = "_tessera_language"
-    found = docs.withColumn(name, identify_column(F.col("text").cast("string"), model, docs.sparkSession, max_rate)["language"])
-    return found.where(F.col(name).isNotNull()).drop(name)
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    text = F.col(names[docs.columns.index("text")]).cast("string")
+    found = docs.toDF(*names).withColumn("language", identify_column(text, model, docs.sparkSession, max_rate)["language"])
+    return found.where("language is not null").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -44,11 +44,19 @@ def sharded(docs: DataFrame, shards: dict[str, float] = SHARDS) -> DataFrame:
     return keyed.select("doc_id", "key", shard_of(F.col("key"), shards).alias("shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: dict[str, float] = SHARDS, files: int = 4) -> None:
-    """docs as Parquet in one folder for each shard (column `shard`), in at most `files` files each."""
-    rows = docs.withColumn("shard", shard_of(record_key(F.col("doc_id"), F.col("text")), shards))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(files))
-    rows.repartition(len(shards) * files, "shard", part).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: dict[str, float] = SHARDS, files: int = 4) -> str:
+    """docs as Parquet in one folder for each shard, in at most `files` files each; returns the name of the folders' column.
+
+    It is `shard`, after as many underscores as are needed for docs not to have it: all columns of docs are written as they
+    are. A table without rows has no folders.
+    """
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    key = record_key(F.col("doc_id"), F.col("text"))
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    docs.withColumn(name, shard_of(key, shards)).repartition(len(shards) * files, name, part).write.partitionBy(name).parquet(path)
+    return name
 
 
 def sharding_sql(table: str = "documents", shards: dict[str, float] = SHARDS) -> str:

@@ -51,6 +51,12 @@ def test_empty_and_bad_shards(spark):
 
 
 def test_write(spark, tmp_path):
-    df = made(spark, ROWS).drop("shard")
-    sharding.write_shards(df, str(tmp_path / "out"), {"a": 1.0, "b": 2.0}, files=2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(ROWS)
+    df = made(spark, ROWS)
+    name = sharding.write_shards(df, str(tmp_path / "out"), {"a": 1.0, "b": 2.0}, files=2)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "_shard" and sorted(out.columns) == sorted([*df.columns, name])
+    rows = out.collect()
+    assert sorted(str(tuple(r[c] for c in df.columns)) for r in rows) == sorted(str(tuple(r)) for r in df.collect())
+    key = lambda d, t: str(d) if d is not None else "t" + hashlib.md5((t or "").encode()).hexdigest()
+    assert all(r["_shard"] == winner(key(r["doc_id"], r["text"]), {"a": 1.0, "b": 2.0}) for r in rows)
+    assert sharding.write_shards(df.drop("shard"), str(tmp_path / "plain"), {"a": 1.0}) == "shard"
