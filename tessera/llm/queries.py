@@ -31,6 +31,7 @@ SQL: dict[str, str] = {
     "op3_quality_rules": rules.ledger_sql(),
     "op3_rule_ablations": rules.ablations_sql(),
     "op4_mix_sources": mixing.mixing_sql(),
+    "op5_ngram_jaccard": jaccard.jaccard_sql(),
     "op7_sharding": sharding.sharding_sql(),
     "op10_capture_index": captures.captures_sql(),
 }
