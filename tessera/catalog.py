@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import proxies
+from tessera.plans import ingest, proxies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(proxies.QUERIES)
+    return proxies.QUERIES | ingest.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(proxies.SQL)
+    return proxies.SQL | ingest.SQL

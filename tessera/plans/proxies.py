@@ -15,21 +15,12 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import aggregates, graph, joins, lineage, raster, select, sets, upsert, windows
 from tessera.plans import paths, pipeline
-from tessera.sources.tables import Tables
+from tessera.sources.tables import Tables, registry
 from tessera.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = registry(QUERIES, SQL)
 
 
 def _tiles(t: Tables) -> DataFrame:

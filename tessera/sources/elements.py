@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,47 @@ def save(elements: DataFrame, path: str, by: list[str] = []) -> None:
     """Elements as Parquet, in folders by the columns `by`, so that a reader opens only those it asks for."""
     writer = elements.write
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def saved(elements: DataFrame, folder: str, name: str = "VolumeData.xml") -> DataFrame:
+    """(path, elements) of the files written: one for each container, in its folder, with a stub of each container below it.
+
+    A container is an element with a Path that isn't a stub itself; the root's folder is `folder`, whatever its Path. `load`
+    gives the same tree back. Files are written by the tasks that hold their containers, each replaced as a whole.
+    """
+    from tessera.operators.graph import to_roots
+    from tessera.plans.paths import full_paths
+
+    ship(elements.sparkSession)
+    path = F.try_element_at("attrs", F.lit("Path"))
+    rows = elements.select("id", "parent", "ord", "tag", "attrs", "text", (path.isNotNull() & (path != "") & ~F.col("tag").endswith("_Link") | F.col("parent").isNull()).alias("holds"), path.alias("path"))
+    # the nearest container at or above each element, and each container's folder by its chain of containers
+    own = rows.where("holds").select(F.col("id").alias("node"), F.lit(None).cast("string").alias("parent"))
+    owner = to_roots(own.unionByName(rows.where("not holds").select(F.col("id").alias("node"), "parent"))).select(F.col("node").alias("id"), F.col("root").alias("owner"))
+    owned = rows.join(owner, "id", "left").withColumn("owner", F.coalesce("owner", "id"))
+    above = owned.select(F.col("id").alias("parent"), F.col("owner").alias("inside"))
+    placed = owned.join(above, "parent", "left")
+    chain = placed.where("holds").select("id", "path", F.col("inside").alias("parent"))
+    step = F.create_map(F.lit("Path"), F.when(F.col("parent").isNotNull(), F.col("path")).otherwise(F.lit("")))
+    folders = full_paths(chain.select("id", "parent", F.lit("").alias("tag"), step.alias("attrs"))).withColumnRenamed("id", "owner")
+    members = placed.select("owner", "id", "parent", "ord", "tag", "attrs", "text", F.lit(False).alias("stub"))
+    stubs = placed.where("holds and inside is not null").select(F.col("inside").alias("owner"), "id", "parent", "ord", F.concat("tag", F.lit("_Link")).alias("tag"), "attrs", F.lit(None).cast("string").alias("text"), F.lit(True).alias("stub"))
+    files = members.unionByName(stubs).join(folders, "owner", "left")
+
+    def write(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["ord", "stub"])
+        made = {}
+        for i, stub, tag, attrs, text in zip(f["id"], f["stub"], f["tag"], f["attrs"], f["text"]):
+            made[i, stub] = ElementTree.Element(tag, dict(sorted(dict(attrs or {}).items())))
+            made[i, stub].text = text
+        for i, stub, parent in zip(f["id"], f["stub"], f["parent"]):
+            if (parent, False) in made:
+                made[parent, False].append(made[i, stub])
+        at = f["full_path"].iloc[0]
+        system, root = fs.FileSystem.from_uri("/".join(x for x in (folder.rstrip("/"), at) if isinstance(x, str) and x))
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{name}") as out:
+            out.write(ElementTree.tostring(made[f["owner"].iloc[0], False], encoding="utf-8"))
+        return pd.DataFrame({"path": [f"{root}/{name}"], "elements": [len(f)]})
+
+    return files.groupBy("owner").applyInPandas(write, "path string, elements long")

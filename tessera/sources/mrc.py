@@ -147,3 +147,36 @@ def grid_positions(rows: DataFrame, columns: str, width: str, height: str, overl
     less the overlap."""
     n = F.col("tile")
     return rows.withColumn("x", F.floor(n / F.col(columns)) * F.col(width) * (1 - overlap)).withColumn("y", (n % F.col(columns)) * F.col(height) * (1 - overlap))
+
+
+def packed(width: int, height: int, values: np.ndarray, pieces: np.ndarray, nm_per_pixel: float = 1.0) -> bytes:
+    """A stack of 4-byte floats, tile by tile, with the tiles' piece coordinates (x, y, z)."""
+    head = bytearray(HEADER_BYTES)
+    n = len(values)
+    struct.pack_into("<4I", head, 0, width, height, n, 2)
+    struct.pack_into("<3I3f", head, 0x1C, width, height, max(1, n), width * nm_per_pixel * 10, height * nm_per_pixel * 10, 1.0)
+    struct.pack_into("<3I", head, 0x40, 1, 2, 3)
+    if n:
+        struct.pack_into("<3f", head, 0x4C, values.min(), values.max(), values.mean())
+    struct.pack_into("<I", head, 0x5C, 6 * n)
+    struct.pack_into("<2H", head, 0x80, 6, PIECE)
+    head[0xD4] = 68
+    return bytes(head) + pieces.astype("<u2").tobytes() + values.astype("<f4").tobytes()
+
+
+def written(tiles: DataFrame, folder: str) -> DataFrame:
+    """(file, tiles) of stacks written to folder/(stack).mrc from tiles (stack, tile, width, height, values, piece_x, piece_y),
+    one task a stack, each file replaced as a whole. Tiles are in order of their number."""
+    ship(tiles.sparkSession)
+
+    def write(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("tile")
+        pieces = np.stack((f["piece_x"], f["piece_y"], np.zeros(len(f))), 1)
+        uri = f"{folder.rstrip('/')}/{f['stack'].iloc[0]}.mrc"
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(packed(int(f["width"].iloc[0]), int(f["height"].iloc[0]), np.array([np.asarray(v, np.float32) for v in f["values"]]), pieces))
+        return pd.DataFrame({"file": [uri], "tiles": [len(f)]})
+
+    return tiles.groupBy("stack").applyInPandas(write, "file string, tiles long")
