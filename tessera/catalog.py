@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import ingest, proxies
+from tessera.plans import details, ingest, proxies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return proxies.QUERIES | ingest.QUERIES
+    return proxies.QUERIES | ingest.QUERIES | details.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return proxies.SQL | ingest.SQL
+    return proxies.SQL | ingest.SQL | details.SQL

@@ -109,3 +109,19 @@ def populated(levels: DataFrame) -> DataFrame:
 def verified(tiles: DataFrame, by: list[str]) -> DataFrame:
     """(by, tiles_validated, invalid) of tiles with a flag `valid`."""
     return tiles.groupBy(*by).agg(F.count_if(F.col("valid")).alias("tiles_validated"), F.count_if(~F.coalesce(F.col("valid"), F.lit(False))).alias("invalid"))
+
+
+def warp_histogram(points: DataFrame, edges: DataFrame, by: list[str], width: float = 1.0, most: float | None = None) -> DataFrame:
+    """(by, bin, edges): by how many degrees a transform turns the edges of its mesh, in bins of `width`.
+
+    points: (by, point, x, y, to_x, to_y); edges: (by, p, q). A turn is between 0 and 180; one beyond `most` counts as it.
+    Edges without length on either side have no direction and are left out.
+    """
+    end = lambda e: points.select(*by, F.col("point").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("x", "y", "to_x", "to_y")])
+    both = edges.select(*by, "p", "q").join(end("p"), [*by, "p"]).join(end("q"), [*by, "q"])
+    d = lambda c: F.col(f"q_{c}") - F.col(f"p_{c}")
+    some = ((d("x") != 0) | (d("y") != 0)) & ((d("to_x") != 0) | (d("to_y") != 0))
+    turn = F.abs(F.degrees(F.atan2(d("to_y"), d("to_x")) - F.atan2(d("y"), d("x"))))
+    turn = F.least(turn, F.lit(360.0) - turn)
+    turn = F.least(turn, F.lit(float(most))) if most is not None else turn
+    return both.where(some).groupBy(*by, F.floor(turn / width).alias("bin")).agg(F.count("*").alias("edges"))

@@ -130,3 +130,31 @@ def running_extent(rows: DataFrame, by: list[str], order: list[str], value: str)
     """The greatest value so far in an order."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("so_far", F.max(value).over(w))
+
+
+def edge_scores(px: DataFrame, by: list[str], width: int, height: int, overlap: float = 0.1) -> DataFrame:
+    """(by, score): how much texture a tile shows where it overlaps others: of the four strips along its edges, `overlap` of
+    its size wide and at least a pixel, the mean of the values' standard deviations."""
+    w, h = max(1, round(width * overlap)), max(1, round(height * overlap))
+    strips = (F.col("x") < w, F.col("x") >= width - w, F.col("y") < h, F.col("y") >= height - h)
+    parts = [F.coalesce(F.stddev_pop(F.when(s, F.col("v"))), F.lit(0.0)) for s in strips]
+    return px.groupBy(*by).agg(((parts[0] + parts[1] + parts[2] + parts[3]) / 4).alias("score"))
+
+
+def warped(px: DataFrame, transforms: DataFrame, by: list[str], width: int, height: int, empty: float = 0.0) -> DataFrame:
+    """(by, y, x, v): images of width by height in the volume's space, each place with the value at the nearest place of its
+    source. The affine transforms (by, a, b, c, d, tx, ty) lead from the volume to the source; places beyond it are empty."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1)))
+    places = transforms.withColumn("_i", n).withColumn("_x", F.col("_i") % width).withColumn("_y", F.floor(F.col("_i") / width).cast("int"))
+    nearest = lambda p, q, t: F.floor(F.col(p) * F.col("_x") + F.col(q) * F.col("_y") + F.col(t) + 0.5).cast("int")
+    asked = places.select(*by, "_y", "_x", nearest("a", "b", "tx").alias("x"), nearest("c", "d", "ty").alias("y"))
+    return asked.join(px, [*by, "y", "x"], "left").select(*by, F.col("_y").alias("y"), F.col("_x").cast("int").alias("x"), F.coalesce("v", F.lit(empty)).alias("v"))
+
+
+def bars(histograms: DataFrame, by: list[str], bin_: str, count: str, height: int) -> DataFrame:
+    """(by, y, x, v): a picture of each histogram, a column a bin: 255 in a bar, whose height is its share of the largest
+    count, and 0 above it. y counts from the top."""
+    most = histograms.groupBy(*by).agg(F.max(count).alias("_most"))
+    tall = F.floor(F.col(count) * height / F.greatest(F.col("_most"), F.lit(1)))
+    rows = histograms.join(most, by).select(*by, F.col(bin_).cast("int").alias("x"), tall.alias("_tall"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    return rows.select(*by, "y", "x", F.when(F.lit(height) - F.col("y") <= F.col("_tall"), 255).otherwise(0).alias("v"))

@@ -73,3 +73,13 @@ def renamed(rows: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
 def without_default(rows: DataFrame, column: str, default: Column) -> DataFrame:
     """Entries equal to the volume's default are dropped to null."""
     return rows.withColumn(column, F.when(F.col(column).eqNullSafe(default), None).otherwise(F.col(column)))
+
+
+def upgraded(rows: DataFrame, defaults: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of an older form, which lack some columns' values, filled from one row a key; `upgraded` tells where."""
+    of = defaults.select(key, *[F.col(x).alias(f"_{x}") for x in columns])
+    lacks = F.lit(False)
+    for x in columns:
+        lacks = lacks | (F.col(x).isNull() & F.col(f"_{x}").isNotNull())
+    joined = rows.join(of, key, "left").withColumn("upgraded", lacks)
+    return joined.select(*[F.coalesce(x, f"_{x}").alias(x) if x in columns else F.col(x) for x in rows.columns], "upgraded")

@@ -60,6 +60,18 @@ def linked(elements: DataFrame) -> DataFrame:
     return heads.unionByName(elements.where((F.col("depth") > 0) & ~is_link))
 
 
+def unlinked(elements: DataFrame) -> DataFrame:
+    """(folder, tag, path, attrs): the stub that each folder lacks for a container below it whose file is there: what a
+    volume's files have lost. Of parsed elements, before they are linked; the topmost folder needs none."""
+    at = F.try_element_at("attrs", F.lit("Path"))
+    is_link = F.col("tag").endswith("_Link")
+    known = elements.where(is_link).select(F.concat_ws("/", "file", at).alias("file"))
+    heads = elements.where((F.col("depth") == 0) & ~is_link)
+    above = heads.select(F.col("file").alias("folder"))
+    lost = heads.join(known, "file", "left_anti").withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
+    return lost.join(above, "folder", "left_semi").select("folder", F.concat("tag", F.lit("_Link")).alias("tag"), F.regexp_extract("file", "([^/]*)$", 1).alias("path"), "attrs")
+
+
 def sorted_elements(elements: DataFrame) -> DataFrame:
     """Siblings in their saved order: keyed classes by number or name, then links by path, then all others."""
     a = lambda n: F.try_element_at("attrs", F.lit(n))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import elements, mrc, sinks, texts
+from tessera.sources import elements, exports, mrc, sinks, texts
 
 IDOC = """DataMode = 1
 PixelSpacing = 21.76
@@ -203,3 +203,55 @@ def test_reports(spark, tmp_path):
     tr = spark.createDataFrame([(1, "t2"), (1, "t1")], "section long, name string")
     doc = sinks.export_document(s, tr, tr.where("section = 9")).first()["document"]
     assert '"num_transforms":2' in doc and '"num_tilesets":0' in doc and doc.index("t1") < doc.index("t2")
+
+
+def test_png_round_trip(spark, tmp_path):
+    for kind in ("u1", "u2"):
+        v = np.arange(35, dtype=kind).reshape(5, 7) * 7
+        assert (exports.parsed_png(exports.png(v)) == v).all() and exports.parsed_png(exports.png(v)).dtype == v.dtype
+    bad = bytearray(exports.png(v))
+    bad[-20] ^= 1
+    with pytest.raises(ValueError):
+        exports.parsed_png(bytes(bad))
+    assert exports.contrasted(np.array([0.0, 10.0, 110.0, 300.0]), 10, 110, 8).tolist() == [0.0, 0.0, 232.0, 255.0]
+    tiles = spark.createDataFrame([("x/a.mrc", 3, 2, 2, [1.0, 2.0, 3.0, 70000.0]), ("x/b.mrc", 0, 1, 1, [5.0])], "file string, tile int, width int, height int, values array<double>")
+    exports.exported_images(tiles, f"file://{tmp_path}/out").collect()
+    got = {r["path"].rsplit("/", 2)[-2] + "/" + r["path"].rsplit("/", 1)[-1]: r["values"] for r in exports.read_images(spark, f"{tmp_path}/out/*/*.png").collect()}
+    assert got == {"a/003.png": [1, 2, 3, 65535], "b/000.png": [5]}
+
+
+VIEWED = """<Volume Name="v"><Block Name="TEM" Path="TEM"><Section Number="2" Path="0002" Name="two"><Notes>n &amp; m</Notes><Channel Name="C" Path="c">
+<Scale><X UnitsOfMeasure="nm" UnitsPerPixel="2"/></Scale><Transform Name="Grid8" Path="g.mosaic"/><Transform Name="Empty" Path="e.mosaic"/>
+<Filter Name="F" Path="f"><TilePyramid Path="tp" LevelFormat="%03d"><Level Path="004" Downsample="4"/><Level Path="001" Downsample="1"/></TilePyramid>
+<Tileset Path="ts" TileXDim="256" TileYDim="512" FilePrefix="p" FilePostfix=".png" CoordFormat="%03d"><Level Path="001" Downsample="1" GridDimX="3" GridDimY="4"/></Tileset></Filter></Channel></Section></Block></Volume>"""
+
+
+def test_viewer_document(spark):
+    tree = elements.parsed(table(spark, VIEWED))
+    first = tree.where("tag = 'Transform' and attrs['Name'] = 'Grid8'").select("id", F.lit("a.001.png").alias("image"))
+    sections = exports.viewer_sections(tree, first)
+    r = sections.first()
+    scale = '<Scale><X UnitsOfMeasure="nm" UnitsPerPixel="2" /></Scale>'
+    assert r["number"] == 2 and r["document"] == (
+        '<Section Number="2" Path="TEM/0002" Name="two"><Transform Name="Grid8" Path="c/g.mosaic" FilePrefix="a" FilePostfix="png" UseForVolume="true" />'
+        f'<Pyramid Name="C.F.Pyramid" Path="c/f/tp" LevelFormat="%03d"><Level Path="001" Downsample="1" /><Level Path="004" Downsample="4" />{scale}</Pyramid>'
+        f'<Tileset name="C.F" path="c/f/ts" TileXDim="256" TileYDim="512" FilePrefix="p" FilePostfix=".png" CoordFormat="%03d"><Level path="001" Downsample="1" GridDimX="3" GridDimY="4" />{scale}</Tileset><Notes>n &amp; m</Notes></Section>'
+    )
+    edges = spark.createDataFrame([(1, 2, "1-2.stos", "Grid")], "control int, mapped int, path string, type string")
+    whole = exports.viewer_document(sections, edges, "v", "sum", units="nm", per_pixel=2.0)
+    assert whole.startswith('<Volume Name="v" num_stos="1" num_sections="1" InputChecksum="sum"><Scale>') and whole.endswith('<stos controlSection="1" mappedSection="2" path="1-2.stos" type="Grid" /></Volume>')
+
+
+def test_saved_elements_load_again(spark, tmp_path):
+    tree = elements.parsed(table(spark, VIEWED))
+    written = elements.saved(tree, f"file://{tmp_path}/v").collect()
+    assert {r["path"].removeprefix(str(tmp_path)) for r in written} >= {"/v/VolumeData.xml", "/v/TEM/VolumeData.xml", "/v/TEM/0002/VolumeData.xml"}
+    again = elements.load(spark, f"{tmp_path}/v")
+    key = lambda df: sorted((r["tag"], sorted(r["attrs"].items()), r["text"]) for r in df.collect())
+    assert key(again) == key(tree)
+    assert elements.unlinked(elements.parsed(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{tmp_path}/v").select(F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), "^file:/+", "/").alias("file"), F.col("value").alias("text")))).count() == 0
+
+
+def test_notes(spark, tmp_path):
+    (tmp_path / "n.txt").write_text("a < b\x00")
+    assert texts.notes(spark, str(tmp_path / "*.txt")).first()["text"] == "a &lt; b"
