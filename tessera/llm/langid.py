@@ -30,6 +30,8 @@ from tessera.llm.common import release, small_batches, utf8
 
 TRAIN_BYTES, TRAIN_DOCS, MAX_RATE = 24_000, 64, 0.45
 LANES = 1024
+#: Rounds over lanes together before they are followed one by one.
+ROUNDS = 4
 #: Texts are taken so many bytes at a time, or a single one.
 PIECE = 2 << 20
 
@@ -85,6 +87,27 @@ def automaton(text: bytes, symbols: np.ndarray, width: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def _follow_one_by_one(table: np.ndarray, width: int, by_step: np.ndarray, begins: np.ndarray, entered: dict[int, int]) -> None:
+    """Puts right the lanes that are entered in the given states, and those after them, each after the one before: what phrases
+    that are longer than several lanes need, as then each lane waits for another anyway."""
+    steps, lanes = by_step.shape
+    edges = memoryview(table)
+    while entered:
+        lane = min(entered)
+        state = entered.pop(lane)
+        symbols, was = by_step[:, lane].tolist(), begins[:, lane].tolist()
+        for t in range(steps):
+            nxt = edges[state * width + symbols[t]]
+            state = nxt >> 1
+            if nxt & 1 and was[t]:
+                break
+            was[t] = bool(nxt & 1)
+        else:
+            if lane + 1 < lanes:
+                entered[lane + 1] = state
+        begins[:, lane] = was
+
+
 def phrases(table: np.ndarray, width: int, stream: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """How many phrases each of the texts in the stream has. Symbols are below width - 1; width - 1 must be a symbol of no text."""
     stop = width - 1
@@ -101,14 +124,17 @@ def phrases(table: np.ndarray, width: int, stream: np.ndarray, offsets: np.ndarr
         state = nxt >> 1
     entry = np.concatenate(([0], state[:-1]))
     follow = np.flatnonzero(entry)
-    now, t = entry[follow], 0
+    now, t, rounds = entry[follow], 0, 0
     while len(follow):
         if t == steps:  # a phrase longer than a lane: the next lane was entered in another state
             ends = now
-            follow, now, t = follow + 1, ends, 0
+            follow, now, t, rounds = follow + 1, ends, 0, rounds + 1
             now, follow = now[follow < lanes], follow[follow < lanes]
             if not len(follow):
                 break
+            if rounds == ROUNDS:
+                _follow_one_by_one(table, width, by_step, begins, dict(zip(follow.tolist(), now.tolist())))
+                break
         nxt = table.take(now * width + by_step[t, follow])
         true = (nxt & 1).astype(bool)
         same = true & begins[t, follow]

@@ -39,6 +39,19 @@ def test_phrases_against_brute_force(lanes):
     assert got.tolist() == [brute(reference, plain(t)) for t in texts]
 
 
+@pytest.mark.parametrize("lanes", [7, 64, 300])
+def test_phrases_longer_than_many_lanes(lanes):
+    """Repeated text that the reference holds at length: no lane begins a phrase where the true parse does."""
+    rng = random.Random(lanes)
+    reference = plain("the house where nothing walks " * 40 + "and then another tale of something else")
+    model = langid.Model({"a": reference})
+    texts = ["the house where nothing walks " * n for n in (1, 60, 150)] + ["x " + "house where nothing walks the " * 90 + "".join(rng.choices("the walks", k=200)), "another tale " * 50]
+    data, offsets = utf8(pa.array(texts))
+    stream, offsets = langid.normalised(data, offsets)
+    got = langid.phrases(model.tables[0], model.width, model.symbols[stream], offsets, lanes)
+    assert got.tolist() == [brute(reference, plain(t)) for t in texts]
+
+
 def test_normalised():
     assert [plain(t) for t in ("", "  A, b!", "a1b", "É-", "...")] == [b"", b"a b ", b"a b", "é ".encode(), b""]
 
