@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.operators import aggregates, graph, joins, lineage, raster, select, sets, upsert, windows
+from tessera.streaming import logs
 
 
 def ints(spark, values, name="section"):
@@ -196,3 +197,14 @@ def test_volume_and_imported_transforms(spark):
     new = spark.createDataFrame([(2, 3.0, 8.0, 4.0), (3, 1.0, 2.0, 2.0)], "id long, dx double, control_downsample double, mapped_downsample double")
     out = graph.imported_transforms(t, new, ["id"], ["dx"]).collect()
     assert sorted((r["id"], r["dx"], r["downsample"], r["change"]) for r in out) == [(1, 5.0, 1.0, "kept"), (2, 6.0, 4.0, "replaced"), (3, 1.0, 2.0, "added")]
+
+
+def test_completed_stream_is_in_files(spark, sf_dir):
+    """No memory sink holds the result, the session's settings stay, and a stream without events has an empty result."""
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    done = logs.completed(logs.sessions(logs.events(spark, sf_dir), late="100 days"))
+    assert all("/stream-" in f for f in done.inputFiles()) and done.inputFiles() and done.columns == ["user_id", "start", "end", "n"]
+    assert done.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == kept
+    none = logs.completed(logs.events(spark, sf_dir).where("false").withWatermark("ts", "1 hour").groupBy("user_id").count())
+    assert none.count() == 0 and none.columns == ["user_id", "count"]
