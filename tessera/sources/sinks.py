@@ -57,12 +57,13 @@ def export_document(sections: DataFrame, transforms: DataFrame, tilesets: DataFr
     return joined.withColumn("num_transforms", size("transforms")).withColumn("num_tilesets", size("tilesets")).select("section", F.to_json(F.struct("*")).alias("document"))
 
 
-def exported_edges(edges: DataFrame, transforms: DataFrame, order: list) -> tuple[DataFrame, DataFrame]:
-    """Edges with the first transform of theirs, and those that have none."""
+def exported_edges(edges: DataFrame, transforms: DataFrame, order: list, on: tuple[str, ...] = ("control", "mapped")) -> tuple[DataFrame, DataFrame]:
+    """Edges with the first transform of theirs, and those that have none. Where a transform is for all edges of one side, `on`
+    names it: the first is taken before transforms meet edges, so that they're never paired with all of a section's edges."""
     from tessera.operators.select import first_match
 
-    first = first_match(transforms, ["control", "mapped"], order)
-    return edges.join(first, ["control", "mapped"]), edges.join(first, ["control", "mapped"], "left_anti")
+    first = first_match(transforms, [*on], order)
+    return edges.join(first, [*on]), edges.join(first, [*on], "left_anti")
 
 
 def folder_index(files: DataFrame, required: list[str]) -> DataFrame:

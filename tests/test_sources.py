@@ -1,9 +1,11 @@
+import itertools
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.sources import elements, exports, mrc, sinks, texts
 
 IDOC = """DataMode = 1
@@ -255,3 +257,14 @@ def test_saved_elements_load_again(spark, tmp_path):
 def test_notes(spark, tmp_path):
     (tmp_path / "n.txt").write_text("a < b\x00")
     assert texts.notes(spark, str(tmp_path / "*.txt")).first()["text"] == "a &lt; b"
+
+
+def test_edges_for_export_rank_before_they_join(spark, sf_dir):
+    """Transforms of a section aren't paired with all its edges before the first is taken."""
+    plan = catalog.queries()["edges_for_export"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    ranked = [k for k, line in enumerate(plan) if "Window [" in line]
+    assert ranked
+    for k in ranked:
+        below = list(itertools.takewhile(lambda line: depth(line) > depth(plan[k]), plan[k + 1 :]))
+        assert below and not any("Join" in line for line in below)
