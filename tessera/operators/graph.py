@@ -80,9 +80,10 @@ def to_roots(parents: DataFrame, sums: list[str] = []) -> DataFrame:
 
 def closure(edges: DataFrame) -> DataFrame:
     """(control, mapped): every section that can be reached from a root, mapped directly to it, also where sections have
-    several controls. Cycles end by themselves: a pair is found once."""
+    several controls. Cycles end by themselves: a pair is found once. What edges are made of is read once, not in each round."""
+    edges = cut(edges.select("control", "mapped").distinct())
     top = roots(edges).withColumnRenamed("section", "control")
-    pairs = cut(edges.select("control", "mapped").distinct().join(top, "control", "left_semi"))
+    pairs = cut(edges.join(top, "control", "left_semi"))
     new = pairs
     while not new.isEmpty():
         step = new.join(edges.select(F.col("control").alias("mapped"), F.col("mapped").alias("_next")), "mapped").select("control", F.col("_next").alias("mapped")).distinct()

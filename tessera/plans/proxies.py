@@ -276,8 +276,9 @@ EDGES = "e AS (SELECT DISTINCT l_suppkey // 10 AS control, l_suppkey AS mapped F
 
 def _edges(t: Tables) -> DataFrame:
     k = F.col("l_suppkey")
-    a = t.lineitem.where(k >= 10).select(F.floor(k / 10).alias("control"), k.alias("mapped"))
-    return a.union(t.lineitem.where(k >= 30).select((F.floor(k / 20) + 1).alias("control"), k.alias("mapped"))).distinct()
+    sections = t.lineitem.where(k >= 10).select(k).distinct()
+    controls = F.array(F.floor(k / 10), F.when(k >= 30, F.floor(k / 20) + 1))
+    return sections.select(F.explode(F.array_compact(F.array_distinct(controls))).alias("control"), k.alias("mapped"))
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT control AS section FROM e WHERE control NOT IN (SELECT mapped FROM e)")

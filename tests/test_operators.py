@@ -208,3 +208,17 @@ def test_completed_stream_is_in_files(spark, sf_dir):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == kept
     none = logs.completed(logs.events(spark, sf_dir).where("false").withWatermark("ts", "1 hour").groupBy("user_id").count())
     assert none.count() == 0 and none.columns == ["user_id", "count"]
+
+
+def test_closure_reads_its_edges_once(spark):
+    """However deep the graph."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    chain = spark.range(1, 6).select(F.col("id").alias("control"), (F.col("id") + 1).alias("mapped")).mapInPandas(counted, "control long, mapped long")
+    assert edges(graph.closure(chain)) == [(1, k) for k in range(2, 7)]
+    assert seen.value == 5
