@@ -139,6 +139,7 @@ def prune_score_file(t):
 @query("SELECT p_partkey::VARCHAR AS file, p_size AS grid_x, p_size + 1 AS grid_y, 256::INTEGER AS tile_x, 512::INTEGER AS tile_y, p_brand AS prefix, '.png' AS postfix, 2.0::DOUBLE AS downsample FROM part")
 def tileset_info_files(t):
     rows = t.part.select("p_partkey", F.col("p_size").alias("grid_x"), (F.col("p_size") + 1).alias("grid_y"), F.lit(256).alias("tile_x"), F.lit(512).alias("tile_y"), F.col("p_brand").alias("prefix"), F.lit(".png").alias("postfix"), F.lit(2.0).alias("downsample"))
+    rows = rows.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     return texts.tileset_info(rows.select(F.col("p_partkey").cast("string").alias("file"), sinks.tileset_info_xml(rows).alias("text")))
 
 

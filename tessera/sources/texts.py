@@ -228,11 +228,28 @@ def prune_scores(texts: DataFrame) -> DataFrame:
     return texts.select("file", split.alias("line_no", "line")).where(F.size(p) == 2).select(F.trim(p[0]).alias("tile"), p[1].try_cast("double").alias("score")).where("score is not null")
 
 
+#: A text of one element, whose attributes have no entities, and one name twice; all that isn't surely the former is left to a parser.
+_SPACE = r"[ \t\r\n]"
+_ATTRIBUTE = rf'{_SPACE}+[A-Za-z_][A-Za-z0-9_.-]*="[ !#-%\x27-;=?-~ -퟿]*"'
+_ELEMENT = rf'\A(<\?xml version="1\.0"( encoding="(utf|UTF)-8")? ?\?>)?{_SPACE}*<[A-Za-z_][A-Za-z0-9_.-]*({_ATTRIBUTE})*{_SPACE}*/>{_SPACE}*\z'
+_TWICE = rf'{_SPACE}([A-Za-z0-9_.-]+)="[^"]*"({_ATTRIBUTE})*{_SPACE}+\1="'
+
+
 def tileset_info(texts: DataFrame) -> DataFrame:
-    """Grid and tile dimensions of tileset XML texts."""
-    i = lambda n: F.expr(f"xpath_int(text, '//@{n}')")
-    s = lambda n: F.expr(f"xpath_string(text, '//@{n}')")
-    return texts.select("file", i("GridDimX").alias("grid_x"), i("GridDimY").alias("grid_y"), i("TileDimX").alias("tile_x"), i("TileDimY").alias("tile_y"), s("FilePrefix").alias("prefix"), s("FilePostfix").alias("postfix"), F.expr("xpath_double(text, '//@Downsample')").alias("downsample"))
+    """Grid and tile dimensions of tileset XML texts. A text of one plain element, as `sinks` writes it, is read by expressions
+    on strings; others are parsed once for each attribute."""
+    names = {"GridDimX": "int", "GridDimY": "int", "TileDimX": "int", "TileDimY": "int", "FilePrefix": "string", "FilePostfix": "string", "Downsample": "double"}
+    columns = ("grid_x", "grid_y", "tile_x", "tile_y", "prefix", "postfix", "downsample")
+    number = {"int": "^[0-9]{1,9}$", "double": r"^[0-9]{1,9}([.][0-9]{1,9})?$"}
+    plain = F.col("_shape")
+    for n, kind in names.items():
+        if kind in number:
+            plain &= F.col(f"_{n}").rlike(number[kind])
+    # each step's columns are used several times by the next, and so computed once
+    found = texts.select("file", "text", (F.col("text").rlike(_ELEMENT) & ~F.col("text").rlike(_TWICE)).alias("_shape"), *[F.regexp_extract("text", rf'{_SPACE}{n}="([^"]*)"', 1).alias(f"_{n}") for n in names])
+    found = found.withColumn("_plain", plain)
+    value = lambda n, kind: F.when(F.col("_plain"), F.col(f"_{n}").cast(kind)).otherwise(F.expr(f"xpath_{kind}(text, '//@{n}')"))
+    return found.select("file", *[value(n, kind).alias(c) for (n, kind), c in zip(names.items(), columns)])
 
 
 def notes(spark: SparkSession, glob: str) -> DataFrame:

@@ -268,3 +268,27 @@ def test_edges_for_export_rank_before_they_join(spark, sf_dir):
     for k in ranked:
         below = list(itertools.takewhile(lambda line: depth(line) > depth(plan[k]), plan[k + 1 :]))
         assert below and not any("Join" in line for line in below)
+
+
+@pytest.mark.parametrize("text", [
+    '<Level GridDimX="3" GridDimY="4" TileDimX="5" TileDimY="6" FilePrefix="a b" FilePostfix="" Downsample="2.5"/>',
+    '<?xml version="1.0"?>\n<Level\nFilePostfix=".png" GridDimX="03" XGridDimX="9" GridDimY="4" TileDimX="5" TileDimY="6" Downsample="0.1" FilePrefix="x\'é" />\n',
+    "<Level GridDimX='3' FilePrefix='a&amp;b&#65;' Downsample='-2.5'/>",
+    '<T><Level GridDimX="3.7" GridDimY="x" FilePrefix="a&lt;\tb"/><Level GridDimX="8" Downsample="1e3" FilePostfix="q"/></T>',
+    '<!-- GridDimX="1" --><Level Note="> GridDimX=" GridDimX="99999999999" TileDimX="-4"/>',
+    "<Level/>", None,
+])
+def test_tileset_info_is_what_a_parser_finds(spark, text):
+    rows = spark.createDataFrame([("f", text)], "file string, text string")
+    names = {"GridDimX": "int", "GridDimY": "int", "TileDimX": "int", "TileDimY": "int", "FilePrefix": "string", "FilePostfix": "string", "Downsample": "double"}
+    want = rows.select(*[F.expr(f"xpath_{kind}(text, '//@{n}')") for n, kind in names.items()]).first()
+    assert repr(tuple(texts.tileset_info(rows).first())[1:]) == repr(tuple(want))
+
+
+def test_tileset_info_reads_plain_texts_without_a_parser(spark):
+    """An attribute that comes twice is an error to a parser, and none may be lost to it."""
+    rows = spark.createDataFrame([("f", '<Level GridDimX="3" GridDimY="4" TileDimX="5" TileDimY="6" Downsample="2" GridDimX="4"/>')], "file string, text string")
+    with pytest.raises(Exception):
+        texts.tileset_info(rows).collect()
+    shape = texts.tileset_info(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in shape.upper()
