@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.shipping import ship
 
 HEADER_BYTES = 1024
+#: Bytes of values, 8 for each, that are read at once.
+RANGE_BYTES = 1 << 20
 #: Pixel mode: numpy type and bytes of a pixel.
 MODES = {0: ("u1", 1), 1: ("i2", 2), 2: ("f4", 4), 3: ("i2", 4), 4: ("c8", 8), 6: ("u2", 2), 16: ("u1", 3)}
 TILT, PIECE, STAGE, MAGNIFICATION, INTENSITY, EXPOSURE = 1, 2, 4, 8, 16, 32
@@ -114,25 +116,28 @@ def tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, path: str, camera_bits: int | None = None) -> DataFrame:
-    """(file, tile, width, height, values): row-major values of each tile, read by its offset; values beyond the camera's
-    bits wrapped around. Modes of one number a pixel only."""
+    """(file, tile, width, height, values): row-major values of each tile, read by its offset, as many tiles at once as
+    RANGE_BYTES hold; values beyond the camera's bits wrapped around. Modes of one number a pixel only."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for file, tile in zip(f["file"], f["tile"]):
+            for file, first, count in zip(f["file"], f["first"], f["count"]):
                 h = parsed_header(_read(file, 0, HEADER_BYTES))
                 kind, size = MODES[h["mode"]]
                 if size != np.dtype(kind).itemsize or kind == "c8":
                     raise ValueError(f"pixel mode {h['mode']} has several numbers a pixel")
                 n = h["width"] * h["height"]
-                v = np.frombuffer(_read(file, HEADER_BYTES + h["extended_bytes"] + tile * n * size, n * size), (">" if h["big_endian"] else "<") + kind).astype(float)
+                v = np.frombuffer(_read(file, HEADER_BYTES + h["extended_bytes"] + first * n * size, count * n * size), (">" if h["big_endian"] else "<") + kind).astype(float)
                 if camera_bits:
                     m = (1 << camera_bits) - 1
                     v = np.where(v > m, v - m, v)
-                yield pd.DataFrame({"file": [file], "tile": [tile], "width": [h["width"]], "height": [h["height"]], "values": [v.tolist()]})
+                yield pd.DataFrame({"file": file, "tile": np.arange(first, first + count), "width": h["width"], "height": h["height"], "values": list(v.reshape(count, n))})
 
-    each = headers(spark, path).select("file", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    return each.repartition("file", "tile").mapInPandas(read, "file string, tile int, width int, height int, values array<double>")
+    found = headers(spark, path).where("tiles > 0")
+    several = F.greatest(F.lit(1), F.floor(F.lit(RANGE_BYTES) / (8 * F.col("width") * F.col("height")))).cast("int")
+    each = found.select("file", "tiles", several.alias("several")).select("file", "tiles", "several", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1, F.col("several"))).alias("first"))
+    each = each.select("file", "first", F.least(F.col("several"), F.col("tiles") - F.col("first")).alias("count"))
+    return each.repartition("file", "first").mapInPandas(read, "file string, tile int, width int, height int, values array<double>")
 
 
 def mosaic_positions(rows: DataFrame) -> DataFrame:

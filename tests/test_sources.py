@@ -292,3 +292,13 @@ def test_tileset_info_reads_plain_texts_without_a_parser(spark):
         texts.tileset_info(rows).collect()
     shape = texts.tileset_info(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in shape.upper()
+
+
+def test_pixels_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Of several tiles each, the last one shorter; a stack without tiles has none."""
+    monkeypatch.setattr(mrc, "RANGE_BYTES", 3 * 8 * 4)
+    values = np.arange(7 * 4, dtype=np.float32).reshape(7, 4)
+    (tmp_path / "a.mrc").write_bytes(mrc.packed(2, 2, values, np.zeros((7, 3))))
+    (tmp_path / "b.mrc").write_bytes(mrc.packed(2, 2, values[:0], np.zeros((0, 3))))
+    px = mrc.pixels(spark, str(tmp_path / "*.mrc")).orderBy("tile").collect()
+    assert [(r["tile"], r["values"]) for r in px] == [(k, v.tolist()) for k, v in enumerate(values)]
