@@ -200,8 +200,9 @@ def exported_tiles(t):
     number = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     values = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 1000).cast("double") % 256)
     tiles = t.embeddings.select(_text("/x/", "$label", ".mrc").alias("file"), number.alias("tile"), F.lit(8).alias("width"), F.lit(8).alias("height"), values.alias("values"))
-    exports.exported_images(tiles, folder, bits=8, low=10.0, high=128.0).write.format("noop").mode("overwrite").save()
-    found = exports.read_images(t.spark, f"{folder}/*/*.png")
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # a file for each tile is much work, its bytes are few
+    exports.exported_images(tiles.repartition(tasks, "file", "tile"), folder, bits=8, low=10.0, high=128.0).write.parquet(f"{folder}-names")
+    found = exports.images_at(t.spark.read.parquet(f"{folder}-names").repartition(tasks))
     total = F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(F.regexp_extract("path", r"([^/]*/[^/]*)$", 1).alias("path"), "width", "height", total.alias("total"), F.col("values")[0].alias("first"))
 

@@ -67,12 +67,15 @@ def exported_images(tiles: DataFrame, folder: str, bits: int = 16, low: float =
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
         for f in frames:
             for path, width, values in zip(f["path"], f["width"], f["values"]):
                 v = np.asarray(values, float).reshape(-1, width)
                 v = np.clip(v, 0, (1 << bits) - 1) if high is None else contrasted(v, low, high, bits)
                 name = f"{root}/{path}"
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                if (above := name.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
                 with system.open_output_stream(name) as out:
                     out.write(png(v.astype(f"u{bits // 8}")))
             yield pd.DataFrame({"file": f["file"], "tile": f["tile"], "path": folder.rstrip("/") + "/" + f["path"]})
@@ -94,6 +97,22 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, width int, height int, values array<int>")
 
 
+def images_at(files: DataFrame) -> DataFrame:
+    """(path, width, height, values) of the grey PNG files named by `path`, opened by the tasks that hold the names: no folder is listed."""
+    ship(files.sparkSession)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            images = []
+            for path in f["path"]:
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(name) as found:
+                    images.append(parsed_png(found.read()))
+            yield pd.DataFrame({"path": f["path"], "width": [x.shape[1] for x in images], "height": [len(x) for x in images], "values": [x.reshape(-1).tolist() for x in images]})
+
+    return files.select("path").mapInPandas(read, "path string, width int, height int, values array<int>")
+
+
 def viewer_sections(elements: DataFrame, images: DataFrame) -> DataFrame:
     """(number, document): what a viewer needs of each section, as XML: its transforms, pyramids, tilesets and notes, with
     paths that start at the section.

@@ -302,3 +302,13 @@ def test_pixels_are_read_in_ranges(spark, tmp_path, monkeypatch):
     (tmp_path / "b.mrc").write_bytes(mrc.packed(2, 2, values[:0], np.zeros((0, 3))))
     px = mrc.pixels(spark, str(tmp_path / "*.mrc")).orderBy("tile").collect()
     assert [(r["tile"], r["values"]) for r in px] == [(k, v.tolist()) for k, v in enumerate(values)]
+
+
+def test_exported_images_are_read_by_name(spark, tmp_path):
+    """Of those that were written, and no others in the folder."""
+    tiles = spark.createDataFrame([("x/a.mrc", k, 2, 1, [float(k), 2.0]) for k in range(3)], "file string, tile int, width int, height int, values array<double>")
+    made = exports.exported_images(tiles, f"file://{tmp_path}/out", bits=8)
+    made.write.parquet(f"{tmp_path}/names")
+    (tmp_path / "out" / "a" / "other.png").write_bytes(b"")
+    got = exports.images_at(spark.read.parquet(f"{tmp_path}/names")).collect()
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["width"], r["height"], r["values"]) for r in got) == [(f"00{k}.png", 2, 1, [k, 2]) for k in range(3)]
