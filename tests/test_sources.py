@@ -276,7 +276,7 @@ def test_edges_for_export_rank_before_they_join(spark, sf_dir):
     "<Level GridDimX='3' FilePrefix='a&amp;b&#65;' Downsample='-2.5'/>",
     '<T><Level GridDimX="3.7" GridDimY="x" FilePrefix="a&lt;\tb"/><Level GridDimX="8" Downsample="1e3" FilePostfix="q"/></T>',
     '<!-- GridDimX="1" --><Level Note="> GridDimX=" GridDimX="99999999999" TileDimX="-4"/>',
-    "<Level/>", None,
+    '<Level GridDimX="3" GridDimY="4" TileDimX="5" TileDimY="6" FilePrefix="a&amp;b" FilePostfix="" Downsample="2"/>', "<Level/>", None,
 ])
 def test_tileset_info_is_what_a_parser_finds(spark, text):
     rows = spark.createDataFrame([("f", text)], "file string, text string")
